@@ -13,14 +13,9 @@ def issue_date_of(text: Column) -> Column:
     return F.try_to_date(text, ISSUE_DATE_FORMAT)
 
 
-def in_fiscal_year(date: Column, fiscal_year: Column) -> Column:
-    """Whether the date lies in Jul 1 of the year before .. Jun 30, both included.
-
-    Null for a null date, so such a row is neither inside nor outside.
-    """
-    first = F.make_date(fiscal_year - 1, F.lit(7), F.lit(1))
-    last = F.make_date(fiscal_year, F.lit(6), F.lit(30))
-    return date.between(first, last)
+def fiscal_year_of(date: Column) -> Column:
+    """The fiscal year of a date: Jul 1 to Jun 30, named for the year it ends in."""
+    return F.year(F.add_months(date, 6))
 
 
 def season_of(month: Column) -> Column:

@@ -1,6 +1,7 @@
 """DataFrame operators the questions are composed of."""
 
 from curbside.operators.dedup import keep_first
+from curbside.operators.lookup import join_small
 from curbside.operators.preview import preview_per_year
 from curbside.operators.profile import column_profile
 from curbside.operators.share import count_and_share
@@ -10,6 +11,7 @@ __all__ = [
     "column_profile",
     "count_and_share",
     "frequency",
+    "join_small",
     "keep_first",
     "nested_top_k",
     "preview_per_year",

@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def column_profile(df: DataFrame, by: str) -> DataFrame:
     """Type, non-null count and exact distinct count of every column but ``by``.
 
-    The table is read once. Each row becomes one (column, value) pair per column
-    and the pairs are counted before they are shuffled, so only distinct values
-    move.
+    The table is read once. Each row becomes one (position, value) pair per
+    column and the pairs are counted before they are shuffled, so only distinct
+    values move, and a value found on very many rows moves once per task.
     """
-    columns = [c for c in df.columns if c != by]
-    types = dict(df.dtypes)
-    pairs = df.select(by, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
-        by, columns, "column_name", "value"
+    columns = [(name, kind) for name, kind in df.dtypes if name != by]
+    as_text = F.array(*[F.col(name).cast("string") for name, _ in columns])
+    values = (
+        df.select(by, F.posexplode(as_text).alias("position", "value"))
+        .groupBy(by, "position", "value")
+        .agg(F.count("value").alias("n"))
     )
-    values = pairs.groupBy(by, "column_name", "value").agg(F.count("value").alias("n"))
-    type_of = F.lit(None).cast("string")
-    for column in columns:
-        type_of = F.when(F.col("column_name") == column, types[column]).otherwise(type_of)
+
+    def labels(of: int) -> Column:
+        return F.array(*[F.lit(column[of]) for column in columns])[F.col("position")]
+
     return (
-        values.groupBy(by, "column_name")
+        values.groupBy(by, "position")
         .agg(
             F.sum("n").alias("non_null_count"),
             F.count("value").alias("distinct_count"),
         )
         .select(
-            by, "column_name", type_of.alias("data_type"), "non_null_count", "distinct_count"
+            by,
+            labels(0).alias("column_name"),
+            labels(1).alias("data_type"),
+            "non_null_count",
+            "distinct_count",
         )
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curbside.operators.lookup import join_small
+
 
 def frequency(
     df: DataFrame,
@@ -62,9 +64,7 @@ def nested_top_k(
     members count 0, as by ``count(column)``. A null group may take a rank but
     is not reported, for no value equals it.
 
-    The broadcast side has at most ``groups`` rows per ``per`` value. The join
-    compares null-safely because a plain equality would filter the cells before
-    their shuffle and so keep it from being shared.
+    The broadcast side has at most ``groups`` rows per ``per`` value.
     """
 
     def counted(column: str) -> Column:
@@ -73,17 +73,8 @@ def nested_top_k(
         return F.when(F.col(column).isNotNull(), F.col(measure)).otherwise(0)
 
     totals = cells.groupBy(per, group).agg(F.sum(counted(group)).alias("group_count"))
-    largest = (
-        top_k(totals, [per], [group], groups, "group_count", "group_rank")
-        .filter(F.col(group).isNotNull())
-        .withColumnsRenamed({per: "largest_per", group: "largest_group"})
-    )
-    same = F.col(per).eqNullSafe(F.col("largest_per")) & F.col(group).eqNullSafe(
-        F.col("largest_group")
-    )
-    within = (
-        cells.join(F.broadcast(largest), same)
-        .drop("largest_per", "largest_group")
-        .withColumn(measure, counted(member))
+    largest = top_k(totals, [per], [group], groups, "group_count", "group_rank").filter(
+        F.col(group).isNotNull()
     )
+    within = join_small(cells, largest, [per, group]).withColumn(measure, counted(member))
     return top_k(within, [per, group], [member], members, measure)

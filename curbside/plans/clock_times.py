@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbside.functions import clock
@@ -12,7 +12,9 @@ from curbside.plans.registry import query
 from curbside.schema import FISCAL_YEAR
 from curbside.stages import TicketStages
 
-HOUR, MERIDIEM = F.col("hour"), F.col("am_pm")
+
+def _parts_of_time() -> tuple[Column, Column]:
+    return F.col("hour"), F.col("am_pm")
 
 
 def time_parts(tickets: DataFrame) -> DataFrame:
@@ -28,20 +30,21 @@ def with_time(parts: DataFrame) -> DataFrame:
 
 def valid_times(parts: DataFrame) -> DataFrame:
     """Tickets with a time on the twelve-hour clock, labelled as ``9:A``."""
-    valid = with_time(parts).filter(clock.is_valid(HOUR, MERIDIEM))
-    return valid.withColumn("clock_time", clock.label_of(HOUR, MERIDIEM))
+    valid = with_time(parts).filter(clock.is_valid(*_parts_of_time()))
+    return valid.withColumn("clock_time", clock.label_of(*_parts_of_time()))
 
 
 def normalized(valid: DataFrame) -> DataFrame:
     """Writes hour 12 as 0 in both the hour and the label."""
-    folded = clock.fold_twelve(HOUR)
-    return valid.withColumns({"hour": folded, "clock_time": clock.label_of(folded, MERIDIEM)})
+    hour, meridiem = _parts_of_time()
+    folded = clock.fold_twelve(hour)
+    return valid.withColumns({"hour": folded, "clock_time": clock.label_of(folded, meridiem)})
 
 
 def binned(tickets: DataFrame) -> DataFrame:
     """Tickets with a valid time and its bin."""
     return normalized(valid_times(time_parts(tickets))).withColumn(
-        "time_bin", clock.bin_of(HOUR, MERIDIEM)
+        "time_bin", clock.bin_of(*_parts_of_time())
     )
 
 
@@ -69,7 +72,7 @@ def _missing(stages: TicketStages) -> DataFrame:
     return count_and_share(
         _parts(stages, "violation_time"),
         [FISCAL_YEAR],
-        clock.is_missing(HOUR, MERIDIEM),
+        clock.is_missing(*_parts_of_time()),
         "missing_time",
     )
 

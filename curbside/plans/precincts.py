@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.operators import frequency, nested_top_k
+from curbside.operators import frequency, join_small, nested_top_k
 from curbside.plans.frequencies import top_values
 from curbside.plans.oracle import top_k_sql
 from curbside.plans.registry import query
@@ -138,8 +138,8 @@ def code_concentration(stages: TicketStages) -> DataFrame:
         F.sum("ticket_count").alias("code_count")
     )
     of_year = cells.groupBy(FISCAL_YEAR).agg(F.sum("ticket_count").alias("year_count"))
-    parts = of_code.join(F.broadcast(listed), [FISCAL_YEAR, "violation_code"]).join(
-        F.broadcast(of_year), [FISCAL_YEAR]
+    parts = join_small(
+        join_small(of_code, listed, [FISCAL_YEAR, "violation_code"]), of_year, [FISCAL_YEAR]
     )
 
     def ratio(part: str, whole: str):

@@ -4,49 +4,54 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from curbside.sources.order_tables import FISCAL_YEARS, tickets_from_order_tables
-from curbside.stages import StoredStages, TicketStages, read_stages, write_stages
+from curbside.stages import StoredStages, TicketStages, read_stored, write_stages
 
 _lock = threading.Lock()
 _known: dict[tuple[SparkSession, str], TicketStages] = {}
 
 
-class _WrittenOnDemand(StoredStages):
+class WrittenOnDemand(StoredStages):
     """Stored stages whose table is written when a query first needs it."""
 
-    def __init__(self, raw: DataFrame, years, path: str) -> None:
-        super().__init__(raw, years, None)
+    def __init__(self, raw: DataFrame, years: Sequence[int], path: str) -> None:
+        super().__init__(raw, years, stored=None)
         self._path = path
         self._write_lock = threading.Lock()
 
-    def _survivors(self, columns):
+    def _survivors(self, columns: Sequence[str]) -> DataFrame:
         with self._write_lock:
             if self._stored is None:
                 write_stages(TicketStages(self._raw, self.years), self._path)
-                spark = self._raw.sparkSession
-                self._stored = read_stages(spark, self._path, self._raw, self.years)._stored
+                self._stored = read_stored(self._raw, self._path)
         return super()._survivors(columns)
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder all executors can reach, if the session names one."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def stages_for(spark: SparkSession, folder: str) -> TicketStages:
     """Stages of the tickets in ``folder``, the same object for the whole session.
 
-    Where ``spark.checkpoint.dir`` names a folder all executors share, the
-    deduplicated tickets are written there once and every query reads them; a
-    lost executor costs no more than its running tasks. Where it is unset each
-    query computes its stages from the tables, for only the columns it uses.
+    Where ``spark.checkpoint.dir`` names a shared folder, the deduplicated
+    tickets are written there once and every query reads them; a lost executor
+    costs no more than its running tasks. Where it is unset each query computes
+    its stages from the tables, for only the columns it uses.
     """
     with _lock:
         if (spark, folder) not in _known:
             raw = tickets_from_order_tables(spark, folder)
-            shared = spark.conf.get("spark.checkpoint.dir", None)
+            shared = shared_folder(spark)
             if shared:
                 app = spark.sparkContext.applicationId
                 path = f"{shared.rstrip('/')}/curbside/{app}/{uuid.uuid4().hex}"
-                _known[spark, folder] = _WrittenOnDemand(raw, FISCAL_YEARS, path)
+                _known[spark, folder] = WrittenOnDemand(raw, FISCAL_YEARS, path)
             else:
                 _known[spark, folder] = TicketStages(raw, FISCAL_YEARS)
         return _known[spark, folder]

@@ -65,7 +65,8 @@ def tickets_from_order_tables(spark: SparkSession, folder: str) -> DataFrame:
 
     No join is hinted: parts and suppliers grow with the lines, so Spark decides
     by their size whether to broadcast them, and splits skewed keys if it does
-    not.
+    not. Lines are joined with one plain table after another, since only those
+    have a size known beforehand.
     """
 
     def table(name: str) -> DataFrame:
@@ -75,11 +76,10 @@ def tickets_from_order_tables(spark: SparkSession, folder: str) -> DataFrame:
     after = dt.date(FISCAL_YEARS[-1], 7, 1)
     shipped = F.col("l_shipdate")
     lines = table("lineitem").filter((shipped >= first) & (shipped < after))
-    suppliers = table("supplier").join(
-        table("nation"), F.col("s_nationkey") == F.col("n_nationkey")
-    )
-    joined = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(
-        table("part"), F.col("l_partkey") == F.col("p_partkey")
+    joined = (
+        lines.join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     )
 
     order, line, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")

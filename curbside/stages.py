@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbside.functions.calendar import in_fiscal_year, issue_date_of
+from curbside.functions.calendar import fiscal_year_of, issue_date_of
 from curbside.operators import keep_first
 from curbside.schema import FISCAL_YEAR, KEY, SURVIVOR_ORDER
 
@@ -27,7 +27,7 @@ DERIVED = ["issue_dt", STATUS]
 def status_of(date: Column, fiscal_year: Column, key: Column) -> Column:
     """What is wrong with a ticket, if anything. A null date is neither inside
     nor outside the fiscal year."""
-    inside = in_fiscal_year(date, fiscal_year)
+    inside = fiscal_year_of(date) == fiscal_year
     return (
         F.when(inside & key.isNotNull(), CLEAN)
         .when(inside, KEYLESS)
@@ -100,7 +100,9 @@ class StoredStages(TicketStages):
     key nor date unless it asks for them.
     """
 
-    def __init__(self, raw: DataFrame, years: Sequence[int], stored: DataFrame) -> None:
+    def __init__(
+        self, raw: DataFrame, years: Sequence[int], stored: DataFrame | None
+    ) -> None:
         super().__init__(raw, years)
         self._stored = stored
 
@@ -121,13 +123,14 @@ def write_stages(stages: TicketStages, path: str) -> None:
     tickets.write.partitionBy(FISCAL_YEAR, STATUS).parquet(path)
 
 
-def read_stages(
-    spark: SparkSession, path: str, raw: DataFrame, years: Sequence[int]
-) -> StoredStages:
-    """Stages of the tickets written to ``path`` from ``raw``."""
-    schema = TicketStages(raw, years).deduplicated(*_all_columns(raw)).schema
-    return StoredStages(raw, years, spark.read.schema(schema).parquet(path))
+def read_stored(raw: DataFrame, path: str) -> DataFrame:
+    """The table :func:`write_stages` made of ``raw``. Its schema is known, so no
+    file is opened to find it."""
+    lazy = TicketStages(raw, ())
+    schema = lazy.deduplicated(*lazy.columns, *DERIVED).schema
+    return raw.sparkSession.read.schema(schema).parquet(path)
 
 
-def _all_columns(raw: DataFrame) -> list[str]:
-    return [c for c in raw.columns if c != FISCAL_YEAR] + DERIVED
+def read_stages(raw: DataFrame, years: Sequence[int], path: str) -> StoredStages:
+    """Stages of the tickets written to ``path`` from ``raw``."""
+    return StoredStages(raw, years, read_stored(raw, path))

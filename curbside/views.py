@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-from curbside.plans.clock_times import normalized, time_parts, valid_times
+from curbside.plans.clock_times import binned
 from curbside.plans.seasons import with_season
-from curbside.functions import clock
 from curbside.stages import TicketStages
-from pyspark.sql import functions as F
 
 
 def register_views(stages: TicketStages) -> list[str]:
     """Register every stage and derived table; returns the names of the views.
 
-    Views hold plans, not rows: nothing runs until a statement uses one.
+    Views hold plans, not rows: nothing is computed until a statement uses one.
     """
     clean = stages.clean(*stages.columns, "issue_dt")
-    timed = normalized(valid_times(time_parts(clean)))
     views = {
         "raw_tickets": stages.raw(),
         "deduplicated_tickets": stages.deduplicated(),
         "valid_tickets": stages.valid(),
         "clean_tickets": clean,
-        "timed_tickets": timed,
+        "timed_tickets": binned(clean),
         "seasonal_tickets": with_season(clean),
     }
     for name, df in views.items():

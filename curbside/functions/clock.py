@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,12 @@ def meridiem_of(text: Column) -> Column:
     return F.nullif(F.substring(text, 5, 5), F.lit(""))
 
 
+def with_parts(tickets: DataFrame) -> DataFrame:
+    """Adds ``hour`` and ``am_pm``, null where ``violation_time`` has none."""
+    text = F.col("violation_time")
+    return tickets.withColumns({"hour": hour_of(text), "am_pm": meridiem_of(text)})
+
+
 def is_missing(hour: Column, meridiem: Column) -> Column:
     return hour.isNull() | meridiem.isNull()
 

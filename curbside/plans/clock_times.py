@@ -1,4 +1,8 @@
-"""Violation times: parsing, faults, four-hour bins and the codes in them."""
+"""Violation times: faults, labels, four-hour bins and the codes in them.
+
+Functions of DataFrames take tickets with the ``hour`` and ``am_pm`` that the
+stages or :func:`curbside.functions.clock.with_parts` give.
+"""
 
 from __future__ import annotations
 
@@ -17,20 +21,15 @@ def _parts_of_time() -> tuple[Column, Column]:
     return F.col("hour"), F.col("am_pm")
 
 
-def time_parts(tickets: DataFrame) -> DataFrame:
-    """Adds ``hour`` and ``am_pm``, null where the text has none."""
-    text = F.col("violation_time")
-    return tickets.withColumns({"hour": clock.hour_of(text), "am_pm": clock.meridiem_of(text)})
-
-
 def with_time(parts: DataFrame) -> DataFrame:
     """Tickets that have both parts, whatever the parts say."""
     return parts.dropna(subset=["hour", "am_pm"])
 
 
 def valid_times(parts: DataFrame) -> DataFrame:
-    """Tickets with a time on the twelve-hour clock, labelled as ``9:A``."""
-    valid = with_time(parts).filter(clock.is_valid(*_parts_of_time()))
+    """Tickets with a time on the twelve-hour clock, labelled as ``9:A``. A missing
+    part fails the check, so it needs no filter of its own."""
+    valid = parts.filter(clock.is_valid(*_parts_of_time()))
     return valid.withColumn("clock_time", clock.label_of(*_parts_of_time()))
 
 
@@ -41,25 +40,30 @@ def normalized(valid: DataFrame) -> DataFrame:
     return valid.withColumns({"hour": folded, "clock_time": clock.label_of(folded, meridiem)})
 
 
-def binned(tickets: DataFrame) -> DataFrame:
+def binned(parts: DataFrame) -> DataFrame:
     """Tickets with a valid time and its bin."""
-    return normalized(valid_times(time_parts(tickets))).withColumn(
+    return normalized(valid_times(parts)).withColumn(
         "time_bin", clock.bin_of(*_parts_of_time())
     )
 
 
+_TIME = ["hour", "am_pm"]
 _TICKET = ["summons_number", "violation_code", "violation_time"]
-_PARTS = [FISCAL_YEAR, *_TICKET, "hour", "am_pm"]
+_PARTS = [FISCAL_YEAR, *_TICKET, *_TIME]
 _TIMED = [*_PARTS, "clock_time"]
 _BINNED = [*_TIMED, "time_bin"]
 
 
-def _parts(stages: TicketStages, *columns: str) -> DataFrame:
-    return time_parts(stages.clean(*(columns or _TICKET)))
+def _parts(stages: TicketStages) -> DataFrame:
+    return stages.clean(*_TICKET, *_TIME)
+
+
+def _times(stages: TicketStages) -> DataFrame:
+    return stages.clean(*_TIME)
 
 
 def _coded_bins(stages: TicketStages) -> DataFrame:
-    return binned(stages.clean("violation_code", "violation_time"))
+    return binned(stages.clean("violation_code", *_TIME))
 
 
 @query(f"SELECT {', '.join(_PARTS)} FROM parts", on="parts")
@@ -70,7 +74,7 @@ def violation_time_parts(stages: TicketStages) -> DataFrame:
 
 def _missing(stages: TicketStages) -> DataFrame:
     return count_and_share(
-        _parts(stages, "violation_time"),
+        _times(stages),
         [FISCAL_YEAR],
         clock.is_missing(*_parts_of_time()),
         "missing_time",
@@ -109,7 +113,7 @@ WHERE hour IS NOT NULL AND am_pm IS NOT NULL GROUP BY file_fy, hour
 """, on="parts")
 def hour_distribution(stages: TicketStages) -> DataFrame:
     """Hours as written, to see the impossible ones."""
-    return _distribution(with_time(_parts(stages, "violation_time")), "hour")
+    return _distribution(with_time(_times(stages)), "hour")
 
 
 @query("""
@@ -118,7 +122,7 @@ WHERE hour IS NOT NULL AND am_pm IS NOT NULL GROUP BY file_fy, am_pm
 """, on="parts")
 def meridiem_distribution(stages: TicketStages) -> DataFrame:
     """Meridiems as written, to see the impossible ones."""
-    return _distribution(with_time(_parts(stages, "violation_time")), "am_pm")
+    return _distribution(with_time(_times(stages)), "am_pm")
 
 
 @query(f"SELECT {', '.join(_TIMED)} FROM timed", on="timed")
@@ -131,7 +135,7 @@ def valid_violation_time(stages: TicketStages) -> DataFrame:
        "GROUP BY file_fy, clock_time", on="timed")
 def clock_time_distribution(stages: TicketStages) -> DataFrame:
     """Labels before 12 and 0 are made one."""
-    return frequency(valid_times(_parts(stages, "violation_time")), [FISCAL_YEAR, "clock_time"])
+    return frequency(valid_times(_times(stages)), [FISCAL_YEAR, "clock_time"])
 
 
 @query(f"SELECT {', '.join(_TIMED)} FROM folded", on="folded")
@@ -143,15 +147,19 @@ def normalized_violation_time(stages: TicketStages) -> DataFrame:
 @query(f"SELECT {', '.join(_BINNED)} FROM binned", on="binned")
 def time_bins(stages: TicketStages) -> DataFrame:
     """Valid times with their four-hour bin."""
-    return binned(stages.clean(*_TICKET)).select(*_BINNED)
+    return binned(_parts(stages)).select(*_BINNED)
 
 
 @query(top_k_sql("binned", ["file_fy", "time_bin"], ["violation_code"], 3,
                  where="time_bin IS NOT NULL"), on="binned")
 def top3_codes_by_time_bin(stages: TicketStages) -> DataFrame:
-    """The three most frequent codes of each bin."""
+    """The three most frequent codes of each bin.
+
+    Only hours below 0 have no bin. Asking for the hour, and not for the bin,
+    spares working the bin out a second time where Spark applies the filter.
+    """
     per_bin = [FISCAL_YEAR, "time_bin"]
-    in_bins = _coded_bins(stages).filter(F.col("time_bin").isNotNull())
+    in_bins = _coded_bins(stages).filter(F.col("hour") >= 0)
     counted = frequency(in_bins, [*per_bin, "violation_code"])
     return top_k(counted, per_bin, ["violation_code"], 3).orderBy(*per_bin, "rank")
 

@@ -7,8 +7,13 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from curbside.sources.order_tables import FISCAL_YEARS, tickets_from_order_tables
+from curbside.sources.order_tables import (
+    FISCAL_YEARS,
+    LARGEST_TABLE,
+    tickets_from_order_tables,
+)
 from curbside.stages import StoredStages, TicketStages, read_stored, write_stages
 
 _lock = threading.Lock()
@@ -18,19 +23,29 @@ _known: dict[tuple[SparkSession, str], TicketStages] = {}
 class WrittenOnDemand(StoredStages):
     """Stored stages whose table is written when a query first needs it."""
 
-    def __init__(self, raw: DataFrame, years: Sequence[int], path: str) -> None:
+    def __init__(
+        self, raw: DataFrame, years: Sequence[int], path: str, source: str
+    ) -> None:
         super().__init__(raw, years, stored=None)
         self._path = path
+        self._source = source
         self._write_lock = threading.Lock()
 
     def _survivors(self, columns: Sequence[str]) -> DataFrame:
         with self._write_lock:
             if self._stored is None:
-                write_stages(TicketStages(self._raw, self.years), self._path)
+                size = bytes_in(self._raw.sparkSession, self._source)
+                write_stages(TicketStages(self._raw, self.years), self._path, size)
                 self._stored = read_stored(self._raw, self._path)
         return super()._survivors(columns)
 
 
+def bytes_in(spark: SparkSession, path: str) -> int:
+    """Size of a file or of all files in a folder; none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.agg(F.sum("length")).first()[0] or 0
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder all executors can reach, if the session names one."""
     return spark.conf.get("spark.checkpoint.dir", None)
@@ -51,7 +66,9 @@ def stages_for(spark: SparkSession, folder: str) -> TicketStages:
             if shared:
                 app = spark.sparkContext.applicationId
                 path = f"{shared.rstrip('/')}/curbside/{app}/{uuid.uuid4().hex}"
-                _known[spark, folder] = WrittenOnDemand(raw, FISCAL_YEARS, path)
+                _known[spark, folder] = WrittenOnDemand(
+                    raw, FISCAL_YEARS, path, source=f"{folder}/{LARGEST_TABLE}.parquet"
+                )
             else:
                 _known[spark, folder] = TicketStages(raw, FISCAL_YEARS)
         return _known[spark, folder]

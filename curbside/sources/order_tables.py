@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from curbside.schema import FISCAL_YEAR, TICKET_COLUMNS, UNKNOWN_STATE
 
 FISCAL_YEARS = (1997, 1998, 1999)
+LARGEST_TABLE = "lineitem"
 
 
 def _every(number: Column, step: int) -> Column:
@@ -75,7 +76,7 @@ def tickets_from_order_tables(spark: SparkSession, folder: str) -> DataFrame:
     first = dt.date(FISCAL_YEARS[0] - 1, 7, 1)
     after = dt.date(FISCAL_YEARS[-1], 7, 1)
     shipped = F.col("l_shipdate")
-    lines = table("lineitem").filter((shipped >= first) & (shipped < after))
+    lines = table(LARGEST_TABLE).filter((shipped >= first) & (shipped < after))
     joined = (
         lines.join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))

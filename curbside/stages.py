@@ -6,12 +6,15 @@ can lose to one with a bad date. Keys are unique per file, not across years.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbside.functions.calendar import fiscal_year_of, issue_date_of
+from curbside.functions.clock import with_parts
 from curbside.operators import keep_first
 from curbside.schema import FISCAL_YEAR, KEY, SURVIVOR_ORDER
 
@@ -21,7 +24,13 @@ KEYLESS = "keyless"
 OUT_OF_RANGE = "out_of_range"
 UNDATED = "undated"
 
-DERIVED = ["issue_dt", STATUS]
+# Derived column: the ticket column it is made of.
+DERIVED = {
+    "issue_dt": "issue_date",
+    STATUS: "issue_date",
+    "hour": "violation_time",
+    "am_pm": "violation_time",
+}
 
 
 def status_of(date: Column, fiscal_year: Column, key: Column) -> Column:
@@ -40,9 +49,10 @@ class TicketStages:
     """Stages as lazy DataFrames, each computed for the columns asked for.
 
     Every method takes the names of the columns wanted beside ``file_fy``; none
-    means all. ``issue_dt`` (the parsed date) and ``ticket_status`` may be asked
-    for after deduplication. Naming the columns matters where the stages are
-    computed from the source: see :func:`keep_first`.
+    means all ticket columns. After deduplication the parsed date ``issue_dt``,
+    the ``ticket_status`` and the parts ``hour`` and ``am_pm`` of the violation
+    time may be named too. Naming columns matters where the stages are computed
+    from the source: see :func:`keep_first`.
     """
 
     def __init__(self, raw: DataFrame, years: Sequence[int]) -> None:
@@ -81,14 +91,16 @@ class TicketStages:
     def _survivors(self, columns: Sequence[str]) -> DataFrame:
         columns = list(dict.fromkeys(columns))
         others = [c for c in self.columns if c != KEY and c not in SURVIVOR_ORDER]
-        needed = set(columns) | ({"issue_date"} if set(columns) & set(DERIVED) else set())
+        needed = {DERIVED.get(c, c) for c in columns}
         survivors = keep_first(
             self._raw, [FISCAL_YEAR, KEY], [*SURVIVOR_ORDER, *others], needed
         )
-        if set(columns) & set(DERIVED):
+        if "issue_date" in needed:
             survivors = survivors.withColumn("issue_dt", issue_date_of(F.col("issue_date")))
             status = status_of(F.col("issue_dt"), F.col(FISCAL_YEAR), F.col(KEY))
             survivors = survivors.withColumn(STATUS, status)
+        if "violation_time" in needed:
+            survivors = with_parts(survivors)
         return survivors.select(FISCAL_YEAR, *columns)
 
 
@@ -97,7 +109,8 @@ class StoredStages(TicketStages):
 
     Year and status are folders there, so a stage is a choice of folders: no
     query shuffles tickets again, and a query of the clean tickets reads neither
-    key nor date unless it asks for them.
+    key nor date unless it asks for them. Derived columns are read, not parsed
+    again.
     """
 
     def __init__(
@@ -113,14 +126,40 @@ class StoredStages(TicketStages):
         return self._survivors([*columns, STATUS]).filter(F.col(STATUS) == CLEAN)
 
 
-def write_stages(stages: TicketStages, path: str) -> None:
+# One task of the deduplication sorts about this much; beyond the most tasks a
+# shuffle manages well, each sorts more and spills.
+_SHUFFLE_BYTES = 512 * 1024**2
+_MOST_SHUFFLE_PARTITIONS = 30_000
+
+
+def shuffle_partitions_for(source_bytes: int, configured: int) -> int:
+    """Shuffle partitions to deduplicate so many bytes with, at least as many as
+    the session is configured for."""
+    needed = math.ceil(source_bytes / _SHUFFLE_BYTES)
+    return max(configured, min(needed, _MOST_SHUFFLE_PARTITIONS))
+
+
+@contextmanager
+def _shuffle_partitions(spark: SparkSession, source_bytes: int) -> Iterator[None]:
+    setting = "spark.sql.shuffle.partitions"
+    configured = spark.conf.get(setting)
+    spark.conf.set(setting, str(shuffle_partitions_for(source_bytes, int(configured))))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, configured)
+
+
+def write_stages(stages: TicketStages, path: str, source_bytes: int = 0) -> None:
     """Write the deduplicated tickets once, for many queries to read.
 
-    Deduplication leaves each task's rows sorted by year and key, so the files
-    of a task are written one after another from a short sort.
+    Given the size of the source, this one wide shuffle is split finely enough
+    for it; the session's own setting, fit for the small shuffles of the
+    queries, holds again afterwards.
     """
     tickets = stages.deduplicated(*stages.columns, *DERIVED)
-    tickets.write.partitionBy(FISCAL_YEAR, STATUS).parquet(path)
+    with _shuffle_partitions(tickets.sparkSession, source_bytes):
+        tickets.write.partitionBy(FISCAL_YEAR, STATUS).parquet(path)
 
 
 def read_stored(raw: DataFrame, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ def register_views(stages: TicketStages) -> list[str]:
 
     Views hold plans, not rows: nothing is computed until a statement uses one.
     """
-    clean = stages.clean(*stages.columns, "issue_dt")
+    clean = stages.clean(*stages.columns, "issue_dt", "hour", "am_pm")
     views = {
         "raw_tickets": stages.raw(),
         "deduplicated_tickets": stages.deduplicated(),

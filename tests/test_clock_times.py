@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from curbside.functions.clock import with_parts
 from curbside.plans import clock_times as ct
 from tests.conftest import rows_of
 
@@ -29,7 +30,7 @@ def times(make_tickets, *texts):
     ],
 )
 def test_parts(make_tickets, text, hour, meridiem):
-    parts = ct.time_parts(times(make_tickets, text))
+    parts = with_parts(times(make_tickets, text))
     assert rows_of(parts, "hour", "am_pm") == [(hour, meridiem)]
 
 
@@ -72,7 +73,7 @@ def test_missing_times_are_those_without_a_part(make_stages):
     ],
 )
 def test_labels_and_bins(make_tickets, text, label, time_bin):
-    timed = ct.binned(times(make_tickets, text))
+    timed = ct.binned(with_parts(times(make_tickets, text)))
     assert rows_of(timed, "clock_time", "time_bin") == [(label, time_bin)]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from curbside.plans.cleaning import (
     issue_year_distribution,
 )
 from curbside.schema import FISCAL_YEAR, KEY, SURVIVOR_ORDER
-from curbside.shared import WrittenOnDemand, stages_for
+from curbside.shared import WrittenOnDemand, bytes_in, stages_for
+from curbside.stages import shuffle_partitions_for
 from tests.conftest import DATA, rows_of
 
 
@@ -160,6 +162,24 @@ def test_the_shared_table_is_written_once_per_session(spark):
     assert stages.clean().inputFiles() and set(stages.clean().inputFiles()) <= set(files)
 
 
+def test_large_sources_get_more_shuffle_partitions():
+    assert shuffle_partitions_for(0, 8) == 8
+    assert shuffle_partitions_for(10 * 1024**3, 8) == 20
+    assert shuffle_partitions_for(10 * 1024**3, 200) == 200
+    assert shuffle_partitions_for(100 * 1024**4, 200) == 30_000
+
+
+def test_writing_leaves_the_session_as_it_was(spark, make_stages, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    write_stages(make_stages({}, {}), f"{tmp_path}/tickets", source_bytes=20 * 1024**3)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_size_of_a_source(spark):
+    path = f"{DATA}/sf0.01/lineitem.parquet"
+    assert bytes_in(spark, path) == os.path.getsize(path)
+
+
 def test_without_a_shared_folder_stages_are_computed(spark, monkeypatch):
     monkeypatch.setattr("curbside.shared.shared_folder", lambda spark: None)
     stages = stages_for(spark, f"{DATA}/sf0.001/")

@@ -21,22 +21,27 @@ _known: dict[tuple[SparkSession, str], TicketStages] = {}
 
 
 class WrittenOnDemand(StoredStages):
-    """Stored stages whose table is written when a query first needs it."""
+    """Stored stages whose table is written when a query first needs it.
+
+    Every attempt writes to a folder of its own, so one that failed is not in
+    the way of the next.
+    """
 
     def __init__(
-        self, raw: DataFrame, years: Sequence[int], path: str, source: str
+        self, raw: DataFrame, years: Sequence[int], folder: str, source: str
     ) -> None:
         super().__init__(raw, years, stored=None)
-        self._path = path
+        self._folder = folder
         self._source = source
         self._write_lock = threading.Lock()
 
     def _survivors(self, columns: Sequence[str]) -> DataFrame:
         with self._write_lock:
             if self._stored is None:
+                path = f"{self._folder}/{uuid.uuid4().hex}"
                 size = bytes_in(self._raw.sparkSession, self._source)
-                write_stages(TicketStages(self._raw, self.years), self._path, size)
-                self._stored = read_stored(self._raw, self._path)
+                write_stages(TicketStages(self._raw, self.years), path, size)
+                self._stored = read_stored(self._raw, path)
         return super()._survivors(columns)
 
 
@@ -64,10 +69,11 @@ def stages_for(spark: SparkSession, folder: str) -> TicketStages:
             raw = tickets_from_order_tables(spark, folder)
             shared = shared_folder(spark)
             if shared:
-                app = spark.sparkContext.applicationId
-                path = f"{shared.rstrip('/')}/curbside/{app}/{uuid.uuid4().hex}"
                 _known[spark, folder] = WrittenOnDemand(
-                    raw, FISCAL_YEARS, path, source=f"{folder}/{LARGEST_TABLE}.parquet"
+                    raw,
+                    FISCAL_YEARS,
+                    f"{shared.rstrip('/')}/curbside/{spark.sparkContext.applicationId}",
+                    source=f"{folder}/{LARGEST_TABLE}.parquet",
                 )
             else:
                 _known[spark, folder] = TicketStages(raw, FISCAL_YEARS)

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 
-from curbside import TicketStages
+from curbside import TicketStages, shared
 from curbside.schema import FISCAL_YEAR, TICKET_FIELDS
 
 DATA = "/root/testdata"
@@ -37,11 +37,14 @@ def spark(tmp_path_factory) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    with pytest.MonkeyPatch.context() as patch:
+        if shared.shared_folder(session) is None:
+            own = str(tmp_path_factory.mktemp("shared"))
+            patch.setattr(shared, "shared_folder", lambda spark: own)
+        yield session
     session.stop()
 
 

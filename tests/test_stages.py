@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from curbside import TicketStages, read_stages, write_stages
@@ -16,6 +17,7 @@ from curbside.plans.cleaning import (
     issue_year_distribution,
 )
 from curbside.schema import FISCAL_YEAR, KEY, SURVIVOR_ORDER
+from curbside import shared
 from curbside.shared import WrittenOnDemand, bytes_in, stages_for
 from curbside.stages import shuffle_partitions_for
 from tests.conftest import DATA, rows_of
@@ -158,10 +160,21 @@ def test_the_shared_table_is_written_once_per_session(spark):
     assert isinstance(stages, WrittenOnDemand)
     assert stages_for(spark, f"{DATA}/sf0.001") is stages
     files = stages.deduplicated().inputFiles()
-    assert all(spark.conf.get("spark.checkpoint.dir") in f for f in files)
+    assert all(shared.shared_folder(spark) in f for f in files)
     assert stages.clean().inputFiles() and set(stages.clean().inputFiles()) <= set(files)
 
 
+def test_a_failed_write_can_be_tried_again(make_tickets, tmp_path):
+    tickets = make_tickets({}, {})
+    bad = tickets.withColumn("violation_code", F.raise_error("lost").cast("int"))
+    source = f"{DATA}/sf0.001/nation.parquet"
+    stages = WrittenOnDemand(bad, (2015,), str(tmp_path), source)
+    with pytest.raises(Exception, match="lost"):
+        stages.clean()
+    stages._raw = tickets
+    assert stages.clean().count() == 2
+
+
 def test_large_sources_get_more_shuffle_partitions():
     assert shuffle_partitions_for(0, 8) == 8
     assert shuffle_partitions_for(10 * 1024**3, 8) == 20

@@ -167,7 +167,8 @@ def top3_codes_by_time_bin(stages: TicketStages) -> DataFrame:
 @query(top_k_sql("timed", ["file_fy"], ["violation_code"], 3), on="timed")
 def top3_codes_timed(stages: TicketStages) -> DataFrame:
     """The three most frequent codes of tickets with a valid time."""
-    counted = frequency(_coded_bins(stages), [FISCAL_YEAR, "violation_code"])
+    timed = valid_times(stages.clean("violation_code", *_TIME))
+    counted = frequency(timed, [FISCAL_YEAR, "violation_code"])
     return top_k(counted, [FISCAL_YEAR], ["violation_code"], 3).orderBy(FISCAL_YEAR, "rank")
 
 

@@ -27,8 +27,9 @@ def _occurrences(stages: TicketStages) -> DataFrame:
 def with_revenue(occurrences: DataFrame) -> DataFrame:
     """Adds the average fine of each code, the fines collected and their rank.
 
-    Takes a few codes per year, as :func:`top_k` gives them. A code without a price has neither and ranks last. The schedule is a fixed
-    handful of rows, so it is broadcast.
+    Takes a few codes per year, as :func:`top_k` gives them. A code without a
+    price has no collection and ranks last. The schedule is a fixed handful of
+    rows, so it is broadcast.
     """
     prices = schedule(occurrences.sparkSession).select("violation_code", "average_fine")
     priced = occurrences.join(F.broadcast(prices), ["violation_code"], "left").withColumn(

@@ -111,3 +111,26 @@ def test_ship_dates_are_filtered_in_the_scan(computed):
     plan = REGISTRY["raw_ticket_count"].build(computed)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in text and "LessThan(l_shipdate" in text
+
+
+def test_source_joins_do_not_depend_on_broadcasts(spark, computed, duck):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        df = REGISTRY["top5_vehicle_make"].build(computed)
+        got, plan = df.collect(), planned(df)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert plan.count("SortMergeJoin") == 3
+    expected = duck("sf0.001").sql(REGISTRY["top5_vehicle_make"].sql).fetchall()
+    columns = ["file_fy", "vehicle_make", "ticket_count", "rank"]
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=repr) == sorted(
+        expected, key=repr
+    )

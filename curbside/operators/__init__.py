@@ -2,7 +2,7 @@
 
 from curbside.operators.dedup import keep_first
 from curbside.operators.lookup import join_small
-from curbside.operators.preview import preview_per_year
+from curbside.operators.preview import preview
 from curbside.operators.profile import column_profile
 from curbside.operators.share import count_and_share
 from curbside.operators.topk import frequency, nested_top_k, top_k
@@ -14,6 +14,6 @@ __all__ = [
     "join_small",
     "keep_first",
     "nested_top_k",
-    "preview_per_year",
+    "preview",
     "top_k",
 ]

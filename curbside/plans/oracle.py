@@ -20,12 +20,12 @@ _LINES = """
   JOIN part ON l_partkey = p_partkey
   JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey
+  WHERE l_shipdate IS NOT NULL
 """
 
 _RAW = """
   SELECT
-    CAST(CASE WHEN l_orderkey % 37 <> 0 THEN fy0
-              WHEN fy0 = 1999 THEN 1997 ELSE fy0 + 1 END AS INTEGER) AS file_fy,
+    CAST(CASE WHEN l_orderkey % 37 = 0 THEN fy0 + 1 ELSE fy0 END AS INTEGER) AS file_fy,
     CASE WHEN l_orderkey % 211 = 0 AND l_linenumber = 1 THEN NULL
          ELSE l_orderkey * 10 + l_linenumber END AS summons_number,
     strftime(l_shipdate, '%m/%d/%Y') AS issue_date,
@@ -52,7 +52,6 @@ _RAW = """
     CASE WHEN k % 10 = 0 THEN NULL ELSE 'ST' END AS street_name,
     CASE WHEN k % 20 < 15 THEN NULL ELSE 'X' END AS intersecting_street
   FROM lines
-  WHERE fy0 IN (1997, 1998, 1999)
 """
 
 _ORDER = ", ".join(f"{c} ASC NULLS FIRST" for c in SURVIVOR_ORDER)

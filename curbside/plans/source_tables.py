@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.operators import column_profile, frequency, preview_per_year
+from curbside.operators import column_profile, frequency, preview
 from curbside.plans.registry import query
 from curbside.schema import FISCAL_YEAR, KEY, SURVIVOR_ORDER, TICKET_COLUMNS, TICKET_FIELDS
 from curbside.stages import TicketStages
@@ -49,4 +49,4 @@ def ticket_preview(stages: TicketStages) -> DataFrame:
     """The first rows of each year's file by key."""
     order = [F.col(KEY).asc_nulls_last()]
     order += [F.col(c).asc_nulls_first() for c in SURVIVOR_ORDER]
-    return preview_per_year(stages.raw(), FISCAL_YEAR, stages.years, order, PREVIEW_ROWS)
+    return preview(stages.raw(), FISCAL_YEAR, order, PREVIEW_ROWS)

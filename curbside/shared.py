@@ -9,11 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbside.sources.order_tables import (
-    FISCAL_YEARS,
-    LARGEST_TABLE,
-    tickets_from_order_tables,
-)
+from curbside.sources.order_tables import LARGEST_TABLE, tickets_from_order_tables
 from curbside.stages import StoredStages, TicketStages, read_stored, write_stages
 
 _lock = threading.Lock()
@@ -27,10 +23,8 @@ class WrittenOnDemand(StoredStages):
     the way of the next.
     """
 
-    def __init__(
-        self, raw: DataFrame, years: Sequence[int], folder: str, source: str
-    ) -> None:
-        super().__init__(raw, years, stored=None)
+    def __init__(self, raw: DataFrame, folder: str, source: str) -> None:
+        super().__init__(raw, years=None, stored=None)
         self._folder = folder
         self._source = source
         self._write_lock = threading.Lock()
@@ -40,7 +34,7 @@ class WrittenOnDemand(StoredStages):
             if self._stored is None:
                 path = f"{self._folder}/{uuid.uuid4().hex}"
                 size = bytes_in(self._raw.sparkSession, self._source)
-                write_stages(TicketStages(self._raw, self.years), path, size)
+                write_stages(TicketStages(self._raw), path, size)
                 self._stored = read_stored(self._raw, path)
         return super()._survivors(columns)
 
@@ -71,10 +65,9 @@ def stages_for(spark: SparkSession, folder: str) -> TicketStages:
             if shared:
                 _known[spark, folder] = WrittenOnDemand(
                     raw,
-                    FISCAL_YEARS,
                     f"{shared.rstrip('/')}/curbside/{spark.sparkContext.applicationId}",
                     source=f"{folder}/{LARGEST_TABLE}.parquet",
                 )
             else:
-                _known[spark, folder] = TicketStages(raw, FISCAL_YEARS)
+                _known[spark, folder] = TicketStages(raw)
         return _known[spark, folder]

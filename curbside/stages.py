@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,17 +54,29 @@ class TicketStages:
     the ``ticket_status`` and the parts ``hour`` and ``am_pm`` of the violation
     time may be named too. Naming columns matters where the stages are computed
     from the source: see :func:`keep_first`.
+
+    ``years`` are the fiscal years of the source, where the caller knows them.
     """
 
-    def __init__(self, raw: DataFrame, years: Sequence[int]) -> None:
+    def __init__(self, raw: DataFrame, years: Sequence[int] | None = None) -> None:
         self._raw = raw
-        self.years = tuple(years)
+        self._years = years
+
+    @cached_property
+    def years(self) -> list[int]:
+        """The fiscal years there are tickets of, looked up unless given."""
+        if self._years is not None:
+            return sorted(self._years)
+        return sorted(row[0] for row in self._year_of_each().distinct().collect())
 
     @property
     def columns(self) -> list[str]:
         """All ticket columns beside ``file_fy``."""
         return [c for c in self._raw.columns if c != FISCAL_YEAR]
 
+    def _year_of_each(self) -> DataFrame:
+        return self._raw.select(FISCAL_YEAR)
+
     def raw(self, *columns: str) -> DataFrame:
         return self._raw.select(FISCAL_YEAR, *(columns or self.columns))
 
@@ -114,11 +127,14 @@ class StoredStages(TicketStages):
     """
 
     def __init__(
-        self, raw: DataFrame, years: Sequence[int], stored: DataFrame | None
+        self, raw: DataFrame, years: Sequence[int] | None, stored: DataFrame | None
     ) -> None:
         super().__init__(raw, years)
         self._stored = stored
 
+    def _year_of_each(self) -> DataFrame:
+        return self._survivors([])
+
     def _survivors(self, columns: Sequence[str]) -> DataFrame:
         return self._stored.select(FISCAL_YEAR, *dict.fromkeys(columns))
 
@@ -165,11 +181,13 @@ def write_stages(stages: TicketStages, path: str, source_bytes: int = 0) -> None
 def read_stored(raw: DataFrame, path: str) -> DataFrame:
     """The table :func:`write_stages` made of ``raw``. Its schema is known, so no
     file is opened to find it."""
-    lazy = TicketStages(raw, ())
+    lazy = TicketStages(raw)
     schema = lazy.deduplicated(*lazy.columns, *DERIVED).schema
     return raw.sparkSession.read.schema(schema).parquet(path)
 
 
-def read_stages(raw: DataFrame, years: Sequence[int], path: str) -> StoredStages:
+def read_stages(
+    raw: DataFrame, path: str, years: Sequence[int] | None = None
+) -> StoredStages:
     """Stages of the tickets written to ``path`` from ``raw``."""
     return StoredStages(raw, years, read_stored(raw, path))

@@ -139,19 +139,20 @@ def test_written_stages_give_the_same_rows(make_tickets, tmp_path):
     tickets = make_tickets(*random_tickets(seed=9, count=500, hot=0.2))
     computed = TicketStages(tickets, (2015, 2016))
     write_stages(computed, f"{tmp_path}/tickets")
-    stored = read_stages(tickets, (2015, 2016), f"{tmp_path}/tickets")
+    stored = read_stages(tickets, f"{tmp_path}/tickets")
     for stage in ("raw", "deduplicated", "valid", "clean"):
         expected, got = getattr(computed, stage)(), getattr(stored, stage)()
         assert got.schema == expected.schema
         assert sorted(rows_of(got), key=repr) == sorted(rows_of(expected), key=repr)
     assert rows_of(stored.clean()), "the sample has clean tickets"
+    assert stored.years == computed.years == TicketStages(tickets).years == [2015, 2016]
 
 
 def test_an_empty_source_gives_empty_stages(make_tickets, tmp_path):
     none = make_tickets({}).filter("false")
     computed = TicketStages(none, (2015,))
     write_stages(computed, f"{tmp_path}/none")
-    assert rows_of(read_stages(none, (2015,), f"{tmp_path}/none").clean()) == []
+    assert rows_of(read_stages(none, f"{tmp_path}/none").clean()) == []
     assert rows_of(computed.clean()) == []
 
 
@@ -168,7 +169,7 @@ def test_a_failed_write_can_be_tried_again(make_tickets, tmp_path):
     tickets = make_tickets({}, {})
     bad = tickets.withColumn("violation_code", F.raise_error("lost").cast("int"))
     source = f"{DATA}/sf0.001/nation.parquet"
-    stages = WrittenOnDemand(bad, (2015,), str(tmp_path), source)
+    stages = WrittenOnDemand(bad, str(tmp_path), source)
     with pytest.raises(Exception, match="lost"):
         stages.clean()
     stages._raw = tickets

@@ -6,10 +6,18 @@ models to train. ``tests/llm`` holds each against a brute-force version instead.
 
 from __future__ import annotations
 
+from curbside.llm.language import op7_language
+from curbside.llm.packing import op8_packing
+from curbside.llm.pii import op4_pii
+from curbside.llm.secret_scan import op9_secrets
 from curbside.llm.simhash import op3_simhash
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
+    "op7_language": op7_language,
+    "op8_packing": op8_packing,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ models to train. ``tests/llm`` holds each against a brute-force version instead.
 
 from __future__ import annotations
 
+from curbside.llm.byte_bpe import op6_byte_bpe
 from curbside.llm.language import op7_language
 from curbside.llm.packing import op8_packing
 from curbside.llm.pii import op4_pii
@@ -15,6 +16,7 @@ from curbside.llm.simhash import op3_simhash
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,

@@ -126,13 +126,12 @@ def learn_languages(
     per_language: int = ROWS_PER_LANGUAGE,
 ) -> LanguageModel:
     """A model of at most ``per_language`` rows of each language among the rows to
-    ``learn`` from; each text comes to the driver as its n-gram shares are made."""
-    has_text = F.length(F.col(text_col)) > 0
-    sample = labelled_sample(
-        docs, F.col(lang_col), id_col, text_col, learn & has_text, per_language
+    ``learn`` from. Rows without a language teach nothing."""
+    labelled = docs.filter(learn).select(
+        F.col(id_col).alias("key"), F.col(lang_col).alias("label")
     )
-    rows = sorted(sample.toLocalIterator(), key=lambda r: (r.label, r.own_id))
-    return train([bytes(r.raw) for r in rows], [r.label for r in rows])
+    sample = labelled_sample(docs, labelled, per_language, id_col, text_col)
+    return train([raw for _, raw in sample], [label for label, _ in sample])
 
 
 def has_letter(text: Column) -> Column:

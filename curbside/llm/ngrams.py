@@ -40,6 +40,33 @@ def byte_classes(raw: np.ndarray) -> np.ndarray:
     return _CLASS[raw]
 
 
+def repeated_words(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """1 for each byte of a word that equals the word before it in the text, else 0.
+    Words stand between ASCII blanks."""
+    out = np.zeros(len(raw), np.uint8)
+    inside = _CLASS[raw] != 1
+    bounds = offsets[(offsets > 0) & (offsets < len(raw))]
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    starts[bounds] = inside[bounds]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    ends[bounds - 1] = inside[bounds - 1]
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    lengths = ends - starts
+    if len(starts) < 2:
+        return out
+    place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    powers = np.cumprod(np.full(1024, 0x01000193, np.uint32), dtype=np.uint32)
+    values = (raw[inside] + np.uint32(1)) * powers[place % 1024]
+    word = np.add.reduceat(values, np.cumsum(lengths) - lengths, dtype=np.uint32)
+    text = np.searchsorted(offsets, starts, "right")
+    same = np.zeros(len(word), bool)
+    same[1:] = (word[1:] == word[:-1]) & (lengths[1:] == lengths[:-1]) & (text[1:] == text[:-1])
+    out[inside] = np.repeat(same, lengths)
+    return out
+
+
 @dataclass(frozen=True)
 class Grams:
     """One family: n-grams of ``order`` of the bytes under ``view``, hashed into
@@ -53,7 +80,9 @@ class Grams:
     def buckets(self) -> int:
         return 1 << self.bits
 
-    def seen(self, raw: np.ndarray) -> np.ndarray:
+    def seen(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if self.view == "repeat":
+            return repeated_words(raw, offsets)
         return {"raw": lambda x: x, "lower": lower_ascii, "class": byte_classes}[self.view](raw)
 
 
@@ -71,9 +100,10 @@ def sliced(
     """Rows ``lo`` to ``hi``, their places within the slice, and the bucket of the
     n-gram at each place; places without one have the bucket after the last."""
     ends = offsets[1:]
+    seen = grams.seen(raw, offsets)
     for p in range(0, len(raw), SLICE):
         q = min(p + SLICE, len(raw))
-        part = grams.seen(raw[p : q + grams.order - 1]).astype(np.uint32)
+        part = seen[p : q + grams.order - 1].astype(np.uint32)
         h = np.full(q - p, grams.order, np.uint32)
         for k in range(grams.order):
             shifted = part[k : k + q - p]
@@ -117,33 +147,45 @@ def shares(raw: np.ndarray, offsets: np.ndarray, families: Sequence[Grams]) -> l
     return out
 
 
-def labelled_sample(
-    docs: DataFrame,
-    label: Column,
-    id_col: str,
-    text_col: str,
-    learn: Column,
-    per_label: int,
-) -> DataFrame:
-    """``label`` and ``raw`` of at most ``per_label`` rows of each label: those
-    whose ids hash lowest among the rows to ``learn`` from.
+# Of a text of the sample, the bytes that a model is fitted on at most.
+SAMPLE_BYTES = 1 << 17
+
 
-    Ids are chosen first, without reading a text.
+def labelled_sample(
+    docs: DataFrame, labelled: DataFrame, per_label: int, id_col: str, text_col: str
+) -> list[tuple[object, bytes]]:
+    """Label and text of at most ``per_label`` rows of each label, by label and id:
+    those whose ids hash lowest. ``labelled`` has the columns ``key`` and ``label``.
+
+    Ids are chosen before a text is read. A label's ids become at most ``per_label``
+    in each task and then over all, and the chosen ids are few enough to broadcast:
+    a fixed number for each label. An id that repeats gives one text.
     """
-    chosen = docs.filter(learn & label.isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("chosen_id"), label.alias("chosen_label")
-    )
-    order = Window.partitionBy("chosen_label").orderBy(F.xxhash64("chosen_id"), "chosen_id")
-    chosen = chosen.withColumn("place", F.row_number().over(order))
-    # At most per_label ids a label; an id that repeats is one.
-    chosen = chosen.filter(F.col("place") <= per_label).select("chosen_id", "chosen_label")
-    texts = docs.select(F.col(id_col).alias("own_id"), text_bytes(F.col(text_col)).alias("raw"))
-    found = texts.join(F.broadcast(chosen.distinct()), F.col("own_id") == F.col("chosen_id"))
-    return (
-        found.select("own_id", F.col("chosen_label").alias("label"), "raw")
-        .dropDuplicates(["own_id", "label"])
-        .select("own_id", "label", "raw")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
+    chosen = (
+        labelled.filter("key IS NOT NULL AND label IS NOT NULL")
+        .withColumn("place", F.row_number().over(order))
+        .filter(F.col("place") <= per_label)
+        .select("key", "label")
+        .distinct()
     )
+    texts = docs.select(F.col(id_col).alias("own_key"), text_bytes(F.col(text_col)).alias("raw"))
+    found = texts.join(F.broadcast(chosen), F.col("own_key") == F.col("key"))
+    cut = F.substring("raw", 1, SAMPLE_BYTES).alias("raw")
+    rows = found.select("key", "label", cut).dropDuplicates(["key", "label"]).collect()
+    return [(r.label, bytes(r.raw)) for r in sorted(rows, key=lambda r: (r.label, r.key))]
+
+
+def labels_of(
+    docs: DataFrame, labels: DataFrame, column: str, learn: Column, id_col: str
+) -> DataFrame:
+    """``key`` and ``label`` of the ``docs`` that have a 0 or 1 in ``column`` of
+    ``labels`` and whose key is to ``learn`` from. Of several labels of one id the
+    largest holds. Only ids are read and shuffled."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1))
+    known = known.groupBy(F.col("doc_id").alias("key")).agg(F.max(column).alias("label"))
+    ids = docs.select(F.col(id_col).alias("own_key"))
+    return known.filter(learn).join(ids, F.col("key") == F.col("own_key"), "left_semi")
 
 
 __all__ = [
@@ -151,6 +193,7 @@ __all__ = [
     "byte_classes",
     "fold_of",
     "labelled_sample",
+    "labels_of",
     "lower_ascii",
     "shares",
     "sliced",

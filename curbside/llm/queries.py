@@ -10,16 +10,20 @@ from curbside.llm.byte_bpe import op6_byte_bpe
 from curbside.llm.language import op7_language
 from curbside.llm.packing import op8_packing
 from curbside.llm.pii import op4_pii
+from curbside.llm.quality import op10_quality
 from curbside.llm.secret_scan import op9_secrets
 from curbside.llm.simhash import op3_simhash
+from curbside.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
+    "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}

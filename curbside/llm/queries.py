@@ -7,15 +7,19 @@ models to train. ``tests/llm`` holds each against a brute-force version instead.
 from __future__ import annotations
 
 from curbside.llm.byte_bpe import op6_byte_bpe
+from curbside.llm.embeddings import op1_embedding_dedup
 from curbside.llm.language import op7_language
 from curbside.llm.packing import op8_packing
 from curbside.llm.pii import op4_pii
 from curbside.llm.quality import op10_quality
 from curbside.llm.secret_scan import op9_secrets
 from curbside.llm.simhash import op3_simhash
+from curbside.llm.topk_search import op2_topk
 from curbside.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_topk": op2_topk,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,

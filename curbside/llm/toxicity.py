@@ -28,6 +28,8 @@ STRIDE = 48
 ROWS_PER_LABEL = 600
 TRAINING_WORDS = 1_024
 EPOCHS = 10
+# Steps that a small sample is gone through again for, up to so many epochs.
+LEAST_STEPS, MOST_EPOCHS = 160, 40
 # Of the sample, every so many-th document is kept for calibration.
 KEPT_BACK = 4
 
@@ -250,7 +252,6 @@ def train(
     texts: list[bytes],
     labels: list[int],
     toxic_share: float | None = None,
-    epochs: int = EPOCHS,
     seed: int = 5,
 ) -> Network:
     """A network fitted by the documents' labels alone, and calibrated to the share
@@ -343,6 +344,8 @@ def train(
         return out
 
     toxic = max(target.mean(), 1e-3)
+    batches = -(-3 * len(texts) // (2 * 128))
+    epochs = min(MOST_EPOCHS, max(EPOCHS, -(-LEAST_STEPS // batches)))
     for epoch in range(epochs):
         if epoch < 2:
             # As many windows of each label; of long documents each counts less.

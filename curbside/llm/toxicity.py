@@ -343,7 +343,7 @@ def train(
             out[at : at + _WINDOWS] = net.run(x[index], held)
         return out
 
-    toxic = max(target.mean(), 1e-3)
+    toxic = min(max(target.mean(), 1e-3), 0.999)
     batches = -(-3 * len(texts) // (2 * 128))
     epochs = min(MOST_EPOCHS, max(EPOCHS, -(-LEAST_STEPS // batches)))
     for epoch in range(epochs):
@@ -360,7 +360,7 @@ def train(
         clean = np.flatnonzero(learnable & (target == 0) & (score > np.median(score)))
         other = draw.choice(clean, min(len(clean), len(worst) // 2), replace=False)
         chosen = draw.permutation(np.concatenate([worst, other]))
-        share = max(target[chosen].mean(), 1e-3)
+        share = min(max(target[chosen].mean(), 1e-3), 0.999)
         learn(chosen, np.where(target[chosen] > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32))
         if epoch == epochs - 5:
             adam.rate /= 3

@@ -1,0 +1,147 @@
+"""Personal data and secrets against the plain patterns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import string
+
+import pytest
+
+from curbside.llm.pii import BASE_KINDS as PII_KINDS
+from curbside.llm.pii import luhn, mod97, op4_pii, personal_data, personal_spans
+from curbside.llm.secret_scan import BASE_KINDS as SECRET_KINDS
+from curbside.llm.secret_scan import (
+    base_spans,
+    cutoffs,
+    encoding_of,
+    learned_cutoffs,
+    op9_secrets,
+    p_random,
+    redacted,
+    secret_spans,
+)
+from tests.conftest import DATA
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+ASSIGN = re.compile(
+    r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    re.ASCII,
+)
+
+
+def plain_personal(text):
+    found = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and luhn([int(d) for d in digits])):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            found.append((kind, *m.span()))
+    return found
+
+
+def plain_secrets(text):
+    found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(found, key=lambda s: (s[1], SECRET_KINDS.index(s[0])))
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+@pytest.mark.parametrize(
+    "query, plain, kinds",
+    [(op4_pii, plain_personal, PII_KINDS), (op9_secrets, plain_secrets, SECRET_KINDS)],
+)
+def test_whole_table(spark, query, plain, kinds):
+    texts = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {}
+    for doc_id, text in texts.collect():
+        spans = plain(text or "")
+        want[doc_id] = (*[sum(s[0] == k for s in spans) for k in kinds], digest(spans))
+    rows = query(spark, f"{DATA}/sf0.01").collect()
+    got = {r.doc_id: (*[r[f"n_{k}"] for k in kinds], r.base_sha256) for r in rows}
+    assert got == want
+    assert any(v[0] for v in want.values())
+
+
+def test_random_texts():
+    draw = random.Random(4)
+    for _ in range(20_000):
+        text = "".join(draw.choice("a.@+-%1 2(9)5é") for _ in range(draw.randint(0, 40)))
+        assert [s for s in personal_spans(text)[0] if s[0] in PII_KINDS] == plain_personal(text)
+    parts = ["api", "_", "key", "Token", "passwd", "=", ":", " ", '"', "abc0123456", "AKIA",
+             "ABCD1234", "f", "ſecret", "K", "\n", "é"]
+    for _ in range(20_000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 14)))
+        assert base_spans(text) == plain_secrets(text)
+
+
+@pytest.mark.parametrize("run", ["a", "1", "@", "+", "1.", "a@", "-", "token ", "f", "A", "1 "])
+def test_long_runs_take_linear_time(run):
+    text = run * 100_000
+    personal_spans(text)
+    base_spans(text)
+
+
+def test_checksums_and_context():
+    assert mod97("GB82WEST12345698765432") and not mod97("GB83WEST12345698765432")
+    spans, scores = personal_spans("IBAN GB82 WEST 1234 5698 7654 32. Mail: a@b.co, then c@d.eu")
+    assert [s[0] for s in spans] == ["email", "email", "iban"]
+    assert scores[2] == 1.0 and scores[0] == 1.0
+    # Nine digits with a routing checksum count only near words that say so.
+    assert personal_spans("number 021000021")[0] == []
+    assert [s[0] for s in personal_spans("aba routing 021000021")[0]] == ["routing"]
+
+
+def test_null_and_empty(spark, make_docs):
+    docs = make_docs((1, None), (2, ""), (None, "a@b.co"), (2, "x"))
+    rows = docs.select("doc_id", personal_data(docs.text).alias("f")).collect()
+    assert sorted((r.f.base for r in rows)) == ["", "", "", "email:0:6"]
+    assert docs.limit(0).select(personal_data(docs.text)).count() == 0
+    assert learned_cutoffs(docs) == {}
+
+
+def test_randomness_battery():
+    draw = random.Random(1)
+    alphabet = string.ascii_letters + string.digits
+    p = [p_random("".join(draw.choices(alphabet, k=40)), "base62") for _ in range(400)]
+    assert 0.03 < sum(x < 0.1 for x in p) / len(p) < 0.25
+    assert p_random("abcdefghijklmnopqrstuvwxyz0123456789abcd", "base36") < 0.01
+    assert p_random("a1" * 20, "hex") < 0.01
+    assert encoding_of("a" * 30) is None and encoding_of("1" * 30) is None
+    assert encoding_of("deadbeef0123") == "hex" and encoding_of("aB3") == "base62"
+
+
+def test_cutoffs_control_false_discoveries():
+    # Twenty bins: structured tokens all in the lowest, random ones even.
+    counts = {(40, b): 50 for b in range(20)} | {(40, 0): 1050}
+    assert cutoffs(counts, 0.05) == {40: 1}
+    # A class of structured tokens alone reports nothing.
+    assert cutoffs({(20, b): 400 for b in range(9)}, 0.05) == {}
+    assert cutoffs({}, 0.05) == {}
+
+
+def test_random_tokens_are_added_and_redacted():
+    draw = random.Random(2)
+    token = "".join(draw.choices(string.ascii_letters + string.digits, k=48))
+    while p_random(token, "base62") < 0.5:
+        token = "".join(draw.choices(string.ascii_letters + string.digits, k=48))
+    text = f"key {token} and password = hunter2hunter2 end"
+    spans = secret_spans(text, {40: 1})
+    assert [s[0] for s in spans] == ["random", "assign"]
+    assert redacted(text, spans) == "key [RANDOM] and [ASSIGN] end"
+    assert redacted("token=0123456789abcdef0", base_spans("token=0123456789abcdef0")) == "[ASSIGN+HEX]"

@@ -6,7 +6,12 @@ fiscal years in a single pass of built-in DataFrame operators.
 """
 
 from curbside.plans import REGISTRY
-from curbside.sources.csv_tickets import read_ticket_csv, read_ticket_years
+from curbside.sources.csv_tickets import (
+    column_counts,
+    lost_values,
+    read_ticket_csv,
+    read_ticket_years,
+)
 from curbside.sources.order_tables import tickets_from_order_tables
 from curbside.stages import TicketStages, read_stages, write_stages
 from curbside.views import register_views
@@ -14,6 +19,8 @@ from curbside.views import register_views
 __all__ = [
     "REGISTRY",
     "TicketStages",
+    "column_counts",
+    "lost_values",
     "read_stages",
     "read_ticket_csv",
     "read_ticket_years",

@@ -9,7 +9,7 @@ from curbside.schema import ISSUE_DATE_FORMAT
 
 
 def issue_date_of(text: Column) -> Column:
-    """The date in ``MM/dd/yyyy`` text; null when the text is no such date."""
+    """The date in text like ``09/08/2014`` or ``9/8/2014``; null for other text."""
     return F.try_to_date(text, ISSUE_DATE_FORMAT)
 
 

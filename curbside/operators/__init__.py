@@ -1,18 +1,20 @@
 """DataFrame operators the questions are composed of."""
 
-from curbside.operators.dedup import keep_first
+from curbside.operators.dedup import compared_columns, keep_first
 from curbside.operators.lookup import join_small
 from curbside.operators.preview import preview
-from curbside.operators.profile import column_profile
+from curbside.operators.profile import column_profile, key_profile
 from curbside.operators.share import count_and_share
 from curbside.operators.topk import frequency, nested_top_k, top_k
 
 __all__ = [
     "column_profile",
+    "compared_columns",
     "count_and_share",
     "frequency",
     "join_small",
     "keep_first",
+    "key_profile",
     "nested_top_k",
     "preview",
     "top_k",

@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def compared_columns(order: Sequence[str], keep: Collection[str] | None) -> list[str]:
+    """The part of ``order`` that decides about the columns to ``keep``."""
+    wanted = [c for c in order if keep is None or c in keep]
+    return list(order[: order.index(wanted[-1]) + 1]) if wanted else []
+
+
 def keep_first(
     df: DataFrame,
     keys: Sequence[str],
@@ -28,7 +34,7 @@ def keep_first(
     wanted = [c for c in order if keep is None or c in keep]
     if not wanted:
         return df.select(*keys).distinct()
-    compared = order[: order.index(wanted[-1]) + 1]
+    compared = compared_columns(order, keep)
     return (
         df.groupBy(*keys)
         .agg(F.min(F.struct(*compared)).alias("survivor"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curbside.operators import count_and_share, frequency
 from curbside.plans.registry import query
 from curbside.schema import FISCAL_YEAR, KEY, TICKET_COLUMNS
-from curbside.stages import OUT_OF_RANGE, STATUS, TicketStages
+from curbside.stages import KEYLESS, OUT_OF_RANGE, STATUS, UNDATED, TicketStages
 
 _ALL = ", ".join(TICKET_COLUMNS)
 
@@ -72,6 +72,22 @@ def invalid_issue_date_share(stages: TicketStages) -> DataFrame:
     return _invalid_dates(stages)
 
 
+@query("""
+SELECT file_fy, count(*) FILTER (WHERE issue_dt IS NULL) AS undated_count,
+       count(*) FILTER (WHERE summons_number IS NULL AND issue_dt BETWEEN
+                        make_date(file_fy - 1, 7, 1) AND make_date(file_fy, 6, 30))
+         AS keyless_count
+FROM deduplicated GROUP BY file_fy
+""", on="deduplicated")
+def set_aside_count(stages: TicketStages) -> DataFrame:
+    """Tickets whose date can't be read, and those in range that lack a key: what
+    the clean table leaves out beside the tickets dated out of range."""
+    return stages.deduplicated(STATUS).groupBy(FISCAL_YEAR).agg(
+        F.count_if(F.col(STATUS) == UNDATED).alias("undated_count"),
+        F.count_if(F.col(STATUS) == KEYLESS).alias("keyless_count"),
+    )
+
+
 @query(f"SELECT {_ALL} FROM valid", on="valid")
 def valid_fiscal_tickets(stages: TicketStages) -> DataFrame:
     """Tickets dated inside their file's fiscal year."""

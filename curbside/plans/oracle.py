@@ -17,18 +17,22 @@ _LINES = """
          l_orderkey * 31 + l_linenumber * 17 + l_partkey AS k,
          (l_orderkey * 7 + l_partkey * 3 + l_linenumber) % 1440 AS m
   FROM lineitem
-  JOIN part ON l_partkey = p_partkey
-  JOIN supplier ON l_suppkey = s_suppkey
-  JOIN nation ON s_nationkey = n_nationkey
-  WHERE l_shipdate IS NOT NULL
+  LEFT JOIN part ON l_partkey = p_partkey
+  LEFT JOIN supplier ON l_suppkey = s_suppkey
+  LEFT JOIN nation ON s_nationkey = n_nationkey
 """
 
 _RAW = """
   SELECT
-    CAST(CASE WHEN l_orderkey % 37 = 0 THEN fy0 + 1 ELSE fy0 END AS INTEGER) AS file_fy,
+    CAST(coalesce(CASE WHEN l_orderkey % 37 = 0 THEN fy0 + 1 ELSE fy0 END, 1900) AS INTEGER)
+      AS file_fy,
     CASE WHEN l_orderkey % 211 = 0 AND l_linenumber = 1 THEN NULL
          ELSE l_orderkey * 10 + l_linenumber END AS summons_number,
-    strftime(l_shipdate, '%m/%d/%Y') AS issue_date,
+    CASE WHEN l_orderkey % 127 = 0 AND l_linenumber = 1 THEN NULL
+         WHEN l_orderkey % 131 = 0 THEN '13/45/2015'
+         WHEN l_orderkey % 137 = 0 THEN 'unknown'
+         WHEN l_orderkey % 5 = 0 THEN strftime(l_shipdate, '%-m/%-d/%Y')
+         ELSE strftime(l_shipdate, '%m/%d/%Y') END AS issue_date,
     CASE WHEN k % 53 = 0 THEN '99' ELSE n_name END AS registration_state,
     CAST(CASE WHEN k % 100 < 14 THEN 21 WHEN k % 100 < 26 THEN 38
               WHEN k % 100 < 36 THEN 36 WHEN k % 100 < 45 THEN 14

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.operators import column_profile, frequency, preview
+from curbside.operators import column_profile, frequency, key_profile, preview
 from curbside.plans.registry import query
 from curbside.schema import FISCAL_YEAR, KEY, SURVIVOR_ORDER, TICKET_COLUMNS, TICKET_FIELDS
 from curbside.stages import TicketStages
@@ -31,7 +31,10 @@ _PROFILE_SQL = " UNION ALL ".join(
 @query(_PROFILE_SQL, on="raw_tickets")
 def table_profile(stages: TicketStages) -> DataFrame:
     """Columns of each year's file with their type, fill and distinct values."""
-    return column_profile(stages.raw(), FISCAL_YEAR)
+    others = [name for name in stages.columns if name != KEY]
+    return key_profile(stages.raw(KEY), FISCAL_YEAR, KEY).unionByName(
+        column_profile(stages.raw(*others), FISCAL_YEAR)
+    )
 
 
 _PREVIEW_ORDER = ", ".join(
@@ -47,6 +50,5 @@ WHERE place <= {PREVIEW_ROWS}
 """, on="raw_tickets")
 def ticket_preview(stages: TicketStages) -> DataFrame:
     """The first rows of each year's file by key."""
-    order = [F.col(KEY).asc_nulls_last()]
-    order += [F.col(c).asc_nulls_first() for c in SURVIVOR_ORDER]
-    return preview(stages.raw(), FISCAL_YEAR, order, PREVIEW_ROWS)
+    order = [F.col(c).asc_nulls_first() for c in SURVIVOR_ORDER]
+    return preview(stages.raw(), stages.raw(KEY), FISCAL_YEAR, KEY, order, PREVIEW_ROWS)

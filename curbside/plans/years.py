@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbside.functions.address import address_is_missing
-from curbside.operators import frequency
 from curbside.plans.examine import NO_ADDRESS_SQL, STATES_SQL, known_states
 from curbside.plans.oracle import top_k_sql
 from curbside.plans.registry import query
@@ -41,15 +40,25 @@ def union_by_year(stages: TicketStages) -> DataFrame:
 
     The same rows as ``top5_violation_code``, in the form to use when years come
     as separate frames: each is cut to five rows by a sorted limit, and the tag
-    column says which year a row is of. Each frame reads its own year only.
+    column says which year a row is of. All frames are taken of one table of
+    counts, whose shuffle they share, so the tickets are scanned once however many
+    years there are.
     """
+    # The year as an aggregate: a filter on the grouping key Spark would push below
+    # the counting, and every year would scan the tickets for itself.
+    counts = (
+        stages.clean("violation_code")
+        .groupBy(FISCAL_YEAR, "violation_code")
+        .agg(F.count("violation_code").alias("ticket_count"), F.max(FISCAL_YEAR).alias("year"))
+    )
 
     def of_year(year: int) -> DataFrame:
-        tickets = stages.clean("violation_code").filter(F.col(FISCAL_YEAR) == year)
-        counted = frequency(tickets, ["violation_code"], count_of="violation_code")
-        top = counted.orderBy(F.desc("ticket_count"), "violation_code").limit(5)
-        return top.withColumn(FISCAL_YEAR, F.lit(year))
+        own = counts.filter(F.col("year") == year)
+        top = own.orderBy(F.desc("ticket_count"), "violation_code").limit(5)
+        return top.select(F.lit(year).alias(FISCAL_YEAR), "violation_code", "ticket_count")
 
+    if not stages.years:
+        return counts.drop("year").withColumn("rank", F.lit(1)).limit(0)
     together = reduce(DataFrame.unionByName, [of_year(y) for y in stages.years])
     ordered = Window.partitionBy(FISCAL_YEAR).orderBy(
         F.desc("ticket_count"), "violation_code"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 FISCAL_YEAR = "file_fy"
 KEY = "summons_number"
-ISSUE_DATE_FORMAT = "MM/dd/yyyy"
+# Month and day of one digit or two.
+ISSUE_DATE_FORMAT = "M/d/yyyy"
 UNKNOWN_STATE = "99"
 
 # Header in a ticket file, column name, Spark type.

@@ -4,70 +4,139 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbside.sources.order_tables import LARGEST_TABLE, tickets_from_order_tables
+from curbside.sources.order_tables import SOURCE_TABLES, order_tables, tickets_of
 from curbside.stages import StoredStages, TicketStages, read_stored, write_stages
 
+# A row of the joined tables, decoded, against its bytes in the files.
+WIDENING = 4
+
 _lock = threading.Lock()
-_known: dict[tuple[SparkSession, str], TicketStages] = {}
+
+# What a session knows is kept on the session itself and goes when it does.
+_KNOWN = "_curbside_stages"
 
 
-class WrittenOnDemand(StoredStages):
-    """Stored stages whose table is written when a query first needs it.
+class PreparedStages(StoredStages):
+    """Stages computed from the source until :meth:`prepare` has written their
+    table, and read from it after.
 
-    Every attempt writes to a folder of its own, so one that failed is not in
-    the way of the next.
+    Every attempt to write has a folder of its own, removed if it fails.
     """
 
-    def __init__(self, raw: DataFrame, folder: str, source: str) -> None:
-        super().__init__(raw, years=None, stored=None)
+    def __init__(
+        self,
+        raw: DataFrame,
+        folder: str,
+        source_bytes: int,
+        read: Callable[[Sequence[str]], DataFrame] | None = None,
+    ) -> None:
+        super().__init__(raw, None, None, read)
         self._folder = folder
-        self._source = source
+        self._source_bytes = source_bytes
         self._write_lock = threading.Lock()
 
-    def _survivors(self, columns: Sequence[str]) -> DataFrame:
+    def prepare(self) -> PreparedStages:
+        """Write the table unless that is done. This is the one step that works
+        when it is called; everything else is a plan."""
         with self._write_lock:
             if self._stored is None:
                 path = f"{self._folder}/{uuid.uuid4().hex}"
-                size = bytes_in(self._raw.sparkSession, self._source)
-                write_stages(TicketStages(self._raw), path, size)
+                try:
+                    write_stages(
+                        TicketStages(self._raw, read=self._read), path, self._source_bytes
+                    )
+                except BaseException:
+                    remove(self._raw.sparkSession, path)
+                    raise
                 self._stored = read_stored(self._raw, path)
-        return super()._survivors(columns)
+        return self
+
+    @property
+    def years(self) -> list[int]:
+        of = StoredStages if self._stored is not None else TicketStages
+        return of.years.func(self)
+
+    def _survivors(self, columns: Sequence[str]) -> DataFrame:
+        of = StoredStages if self._stored is not None else TicketStages
+        return of._survivors(self, columns)
+
+    def _clean(self, columns: Sequence[str]) -> DataFrame:
+        of = StoredStages if self._stored is not None else TicketStages
+        return of._clean(self, columns)
 
 
-def bytes_in(spark: SparkSession, path: str) -> int:
-    """Size of a file or of all files in a folder; none is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.agg(F.sum("length")).first()[0] or 0
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder on any storage Spark can write to."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
+def listing(spark: SparkSession, paths: Iterable[str]) -> tuple[int, int]:
+    """Size of all files in the folders, and a digest of their paths, sizes and
+    modification times; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    row = (
+        files.load(list(paths))
+        .agg(
+            F.sum("length"),
+            F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")),
+        )
+        .first()
+    )
+    return row[0] or 0, int(row[1] or 0)
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all executors can reach, if the session names one."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors can reach, if the session names one. On a cluster a
+    path of the local file system is none, since each executor has its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder or spark.sparkContext.master.startswith("local"):
+        return folder
+    return folder if "://" in folder and not folder.startswith("file:") else None
+
+
+def ticket_reader(
+    spark: SparkSession, folder: str
+) -> tuple[DataFrame, Callable[[Sequence[str]], DataFrame]]:
+    """All tickets of the order tables, and a function that makes some columns."""
+    tables = order_tables(spark, folder)
+    return tickets_of(tables), partial(tickets_of, tables)
 
 
 def stages_for(spark: SparkSession, folder: str) -> TicketStages:
-    """Stages of the tickets in ``folder``, the same object for the whole session.
+    """Stages of the tickets in ``folder``, the same object for the whole session as
+    long as no file of the source changes.
 
-    Where ``spark.checkpoint.dir`` names a shared folder, the deduplicated
-    tickets are written there once and every query reads them; a lost executor
-    costs no more than its running tasks. Where it is unset each query computes
+    Where ``spark.checkpoint.dir`` names a shared folder, ``prepare()`` writes the
+    deduplicated tickets there once and every query made after that reads them; a
+    lost executor costs no more than its running tasks. Else each query computes
     its stages from the tables, for only the columns it uses.
     """
+    tables = [f"{folder.rstrip('/')}/{name}.parquet" for name in SOURCE_TABLES]
+    size, state = listing(spark, tables)
+    shared = shared_folder(spark)
     with _lock:
-        if (spark, folder) not in _known:
-            raw = tickets_from_order_tables(spark, folder)
-            shared = shared_folder(spark)
+        of_session = spark.__dict__.setdefault(_KNOWN, {})
+        known = of_session.get((folder, shared))
+        if known is None or known[0] != state:
+            raw, read = ticket_reader(spark, folder)
             if shared:
-                _known[spark, folder] = WrittenOnDemand(
-                    raw,
-                    f"{shared.rstrip('/')}/curbside/{spark.sparkContext.applicationId}",
-                    source=f"{folder}/{LARGEST_TABLE}.parquet",
-                )
+                place = f"{shared.rstrip('/')}/curbside/{spark.sparkContext.applicationId}"
+                stages = PreparedStages(raw, place, size * WIDENING, read)
             else:
-                _known[spark, folder] = TicketStages(raw)
-        return _known[spark, folder]
+                stages = TicketStages(raw, read=read)
+            of_session[folder, shared] = known = state, stages
+        return known[1]
+
+
+def prepared_stages_for(spark: SparkSession, folder: str) -> TicketStages:
+    """:func:`stages_for`, with the shared table written where there is a place."""
+    stages = stages_for(spark, folder)
+    return stages.prepare() if isinstance(stages, PreparedStages) else stages

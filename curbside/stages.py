@@ -7,8 +7,9 @@ can lose to one with a bad date. Keys are unique per file, not across years.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+import re
+import uuid
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from curbside.functions.calendar import fiscal_year_of, issue_date_of
 from curbside.functions.clock import with_parts
-from curbside.operators import keep_first
+from curbside.operators import compared_columns, keep_first
 from curbside.schema import FISCAL_YEAR, KEY, SURVIVOR_ORDER
 
 STATUS = "ticket_status"
@@ -55,12 +56,24 @@ class TicketStages:
     time may be named too. Naming columns matters where the stages are computed
     from the source: see :func:`keep_first`.
 
+    ``raw`` is the source's table, and ``read``, where given, makes it of the
+    columns asked for alone, so that a source joins only what they need.
     ``years`` are the fiscal years of the source, where the caller knows them.
     """
 
-    def __init__(self, raw: DataFrame, years: Sequence[int] | None = None) -> None:
+    def __init__(
+        self,
+        raw: DataFrame,
+        years: Sequence[int] | None = None,
+        read: Callable[[Sequence[str]], DataFrame] | None = None,
+    ) -> None:
         self._raw = raw
         self._years = years
+        self._read = read
+
+    def _source(self, columns: Sequence[str]) -> DataFrame:
+        names = list(dict.fromkeys([FISCAL_YEAR, *columns]))
+        return self._read(names) if self._read else self._raw.select(*names)
 
     @cached_property
     def years(self) -> list[int]:
@@ -75,10 +88,10 @@ class TicketStages:
         return [c for c in self._raw.columns if c != FISCAL_YEAR]
 
     def _year_of_each(self) -> DataFrame:
-        return self._raw.select(FISCAL_YEAR)
+        return self._source([])
 
     def raw(self, *columns: str) -> DataFrame:
-        return self._raw.select(FISCAL_YEAR, *(columns or self.columns))
+        return self._source(columns or self.columns)
 
     def deduplicated(self, *columns: str) -> DataFrame:
         """One row per (``file_fy``, key); the null key counts as one key."""
@@ -105,9 +118,8 @@ class TicketStages:
         columns = list(dict.fromkeys(columns))
         others = [c for c in self.columns if c != KEY and c not in SURVIVOR_ORDER]
         needed = {DERIVED.get(c, c) for c in columns}
-        survivors = keep_first(
-            self._raw, [FISCAL_YEAR, KEY], [*SURVIVOR_ORDER, *others], needed
-        )
+        order = compared_columns([*SURVIVOR_ORDER, *others], needed)
+        survivors = keep_first(self._source([KEY, *order]), [FISCAL_YEAR, KEY], order, needed)
         if "issue_date" in needed:
             survivors = survivors.withColumn("issue_dt", issue_date_of(F.col("issue_date")))
             status = status_of(F.col("issue_dt"), F.col(FISCAL_YEAR), F.col(KEY))
@@ -127,13 +139,22 @@ class StoredStages(TicketStages):
     """
 
     def __init__(
-        self, raw: DataFrame, years: Sequence[int] | None, stored: DataFrame | None
+        self,
+        raw: DataFrame,
+        years: Sequence[int] | None,
+        stored: DataFrame | None,
+        read: Callable[[Sequence[str]], DataFrame] | None = None,
     ) -> None:
-        super().__init__(raw, years)
+        super().__init__(raw, years, read)
         self._stored = stored
 
-    def _year_of_each(self) -> DataFrame:
-        return self._survivors([])
+    @cached_property
+    def years(self) -> list[int]:
+        """The fiscal years there are folders of; no job is run for it."""
+        if self._years is not None:
+            return sorted(self._years)
+        folders = (re.search(rf"/{FISCAL_YEAR}=(\d+)/", f) for f in self._stored.inputFiles())
+        return sorted({int(m[1]) for m in folders if m})
 
     def _survivors(self, columns: Sequence[str]) -> DataFrame:
         return self._stored.select(FISCAL_YEAR, *dict.fromkeys(columns))
@@ -142,40 +163,57 @@ class StoredStages(TicketStages):
         return self._survivors([*columns, STATUS]).filter(F.col(STATUS) == CLEAN)
 
 
-# One task of the deduplication sorts about this much; beyond the most tasks a
-# shuffle manages well, each sorts more and spills.
-_SHUFFLE_BYTES = 512 * 1024**2
-_MOST_SHUFFLE_PARTITIONS = 30_000
+# One task of the deduplication sorts about this much.
+SHUFFLE_BYTES = 512 * 1024**2
 
 
-def shuffle_partitions_for(source_bytes: int, configured: int) -> int:
-    """Shuffle partitions to deduplicate so many bytes with, at least as many as
-    the session is configured for."""
-    needed = math.ceil(source_bytes / _SHUFFLE_BYTES)
-    return max(configured, min(needed, _MOST_SHUFFLE_PARTITIONS))
+def shuffle_partitions_for(
+    source_bytes: int, configured: int, target_bytes: int = SHUFFLE_BYTES
+) -> int:
+    """Shuffle partitions to deduplicate so many bytes with, about ``target_bytes``
+    for each, and at least as many as the session is configured for."""
+    return max(configured, math.ceil(source_bytes / target_bytes))
 
 
-@contextmanager
-def _shuffle_partitions(spark: SparkSession, source_bytes: int) -> Iterator[None]:
-    setting = "spark.sql.shuffle.partitions"
-    configured = spark.conf.get(setting)
-    spark.conf.set(setting, str(shuffle_partitions_for(source_bytes, int(configured))))
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, configured)
+def _session_like(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session with the settings of another and these, which that one keeps out of."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    for name, value in settings.items():
+        own.conf.set(name.replace("_", "."), value)
+    return own
 
 
-def write_stages(stages: TicketStages, path: str, source_bytes: int = 0) -> None:
+def write_stages(
+    stages: TicketStages,
+    path: str,
+    source_bytes: int = 0,
+    target_bytes: int = SHUFFLE_BYTES,
+) -> None:
     """Write the deduplicated tickets once, for many queries to read.
 
     Given the size of the source, this one wide shuffle is split finely enough
-    for it; the session's own setting, fit for the small shuffles of the
-    queries, holds again afterwards.
+    for it: ``target_bytes`` of it for a task. The write has a session of its own,
+    so the caller's settings, fit for the small shuffles of the queries, hold at
+    all times. Before they are written tickets are rebalanced by folder: Spark
+    splits the large folders among tasks and joins the small, so there are about as
+    many files as the size calls for, however many partitions were sorted.
     """
-    tickets = stages.deduplicated(*stages.columns, *DERIVED)
-    with _shuffle_partitions(tickets.sparkSession, source_bytes):
-        tickets.write.partitionBy(FISCAL_YEAR, STATUS).parquet(path)
+    spark = stages.deduplicated(KEY).sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = shuffle_partitions_for(source_bytes, configured, target_bytes)
+    own = _session_like(spark, spark_sql_shuffle_partitions=str(count))
+    view = f"curbside_{uuid.uuid4().hex}"
+    stages.raw().createGlobalTempView(view)
+    try:
+        source = own.table(f"global_temp.{view}")
+        tickets = TicketStages(source).deduplicated(*stages.columns, *DERIVED)
+        balanced = tickets.hint("rebalance", FISCAL_YEAR, STATUS)
+        balanced.write.partitionBy(FISCAL_YEAR, STATUS).parquet(path)
+    finally:
+        spark.catalog.dropGlobalTempView(view)
 
 
 def read_stored(raw: DataFrame, path: str) -> DataFrame:

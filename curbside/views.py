@@ -10,7 +10,9 @@ from curbside.stages import TicketStages
 def register_views(stages: TicketStages) -> list[str]:
     """Register every stage and derived table; returns the names of the views.
 
-    Views hold plans, not rows: nothing is computed until a statement uses one.
+    Views hold plans, not rows: no job runs until a statement uses one. Views of
+    shared stages that are not prepared compute from the source; prepare the stages
+    first to have them read the written table.
     """
     clean = stages.clean(*stages.columns, "issue_dt", "hour", "am_pm")
     views = {

@@ -6,8 +6,8 @@ import re
 
 import pytest
 
-from curbside import REGISTRY, TicketStages, tickets_from_order_tables
-from curbside.shared import stages_for
+from curbside import REGISTRY, TicketStages, register_views
+from curbside.shared import SOURCE_TABLES, prepared_stages_for, stages_for, ticket_reader
 from tests.conftest import DATA
 
 
@@ -23,12 +23,13 @@ def planned(df) -> str:
 
 @pytest.fixture(scope="module")
 def stored(spark):
-    return stages_for(spark, f"{DATA}/sf0.001")
+    return prepared_stages_for(spark, f"{DATA}/sf0.001")
 
 
 @pytest.fixture(scope="module")
 def computed(spark):
-    return TicketStages(tickets_from_order_tables(spark, f"{DATA}/sf0.001"))
+    raw, read = ticket_reader(spark, f"{DATA}/sf0.001")
+    return TicketStages(raw, read=read)
 
 
 @pytest.mark.parametrize("name", list(REGISTRY))
@@ -71,10 +72,12 @@ def test_small_sides_are_broadcast(stored, name):
     ["top3_bins_by_top_code", "top10_codes_by_precinct", "common_codes_across_precincts",
      "code_concentration"],
 )
-def test_nested_rankings_scan_tickets_once(stored, name):
-    plan = executed(REGISTRY[name].build(stored))
-    assert plan.count("FileScan") == 1
-    assert "ReusedExchange" in plan
+def test_nested_rankings_scan_tickets_once(stored, computed, name):
+    for stages in (stored, computed):
+        plan = executed(REGISTRY[name].build(stages))
+        scan = r"FileScan parquet" if stages is stored else r"FileScan parquet \[l_"
+        assert len(re.findall(scan, plan)) == 1
+        assert "ReusedExchange" in plan
 
 
 def test_the_shared_table_is_pruned_to_folders_and_columns(stored):
@@ -84,15 +87,42 @@ def test_the_shared_table_is_pruned_to_folders_and_columns(stored):
     assert re.search(r"PartitionFilters: \[[^\]]*ticket_status", text)
 
 
-def test_one_year_reads_one_year(spark, stored):
-    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
-    try:
-        text = REGISTRY["union_by_year"].build(stored)._jdf.queryExecution().toString()
-    finally:
-        spark.conf.unset("spark.sql.maxMetadataStringLength")
-    assert stored.years == list(range(1995, 2004))
-    for year in stored.years:
-        assert re.search(rf"PartitionFilters: \[[^\]]*file_fy#\d+ = {year}", text)
+def jobs_of(spark, make):
+    """What ``make`` returns, and the number of jobs it ran."""
+    spark.sparkContext.setJobGroup("counted", "counted")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    made = make()
+    after = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    spark.sparkContext.setJobGroup("others", "others")
+    return made, after - before
+
+
+def test_years_side_by_side_scan_tickets_once(spark, stored, computed):
+    rows = sorted(map(tuple, REGISTRY["top5_violation_code"].build(stored).select(
+        "file_fy", "violation_code", "ticket_count", "rank").collect()))
+    df, jobs = jobs_of(spark, lambda: REGISTRY["union_by_year"].build(stored))
+    assert jobs == 0 and sorted(map(tuple, df.collect())) == rows
+    known = TicketStages(computed._raw, stored.years, computed._read)
+    df, jobs = jobs_of(spark, lambda: REGISTRY["union_by_year"].build(known))
+    assert jobs == 0 and sorted(map(tuple, df.collect())) == rows
+    for of, scan in ((stored, "FileScan"), (known, "FileScan parquet [l_")):
+        assert executed(REGISTRY["union_by_year"].build(of)).count(scan) == 1
+
+
+@pytest.mark.parametrize(
+    "name", ["raw_ticket_count", "hour_distribution", "top5_violation_code", "issue_year_distribution"]
+)
+def test_only_the_dimensions_in_use_are_joined(computed, name):
+    plan = planned(REGISTRY[name].build(computed))
+    assert "lineitem" in plan and "Join" not in plan
+
+
+def test_registering_views_runs_no_job(spark, tmp_path):
+    for name in SOURCE_TABLES:
+        spark.read.parquet(f"{DATA}/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    stages = stages_for(spark, str(tmp_path))
+    _, jobs = jobs_of(spark, lambda: register_views(stages))
+    assert jobs == 0
 
 
 def test_computing_stages_shuffles_only_the_columns_in_use(computed):
@@ -107,10 +137,13 @@ def test_the_null_key_is_dropped_before_deduplication(computed):
     assert re.search(r"Filter .*211", below)
 
 
-def test_the_preview_passes_on_a_few_rows_of_each_task(computed):
+def test_the_preview_sorts_keys_alone(computed):
     plan = planned(REGISTRY["ticket_preview"].build(computed))
-    assert plan.count("lineitem") == 1
     assert re.search(r"WindowGroupLimit.*6, Partial", plan)
+    # Whole rows meet the bound of the keys before they are ranked.
+    whole = plan.index("WindowGroupLimit")
+    assert whole < re.search(r"BroadcastHashJoin.*LeftSemi", plan).start()
+    assert plan.rindex("WindowGroupLimit") > plan.index("LeftSemi")
 
 
 def test_source_joins_do_not_depend_on_broadcasts(spark, computed, duck):

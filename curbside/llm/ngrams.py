@@ -157,17 +157,22 @@ def labelled_sample(
     """Label and text of at most ``per_label`` rows of each label, by label and id:
     those whose ids hash lowest. ``labelled`` has the columns ``key`` and ``label``.
 
-    Ids are chosen before a text is read. A label's ids become at most ``per_label``
-    in each task and then over all, and the chosen ids are few enough to broadcast:
-    a fixed number for each label. An id that repeats gives one text.
+    Ids are chosen before a text is read. Of a label with many ids only the part
+    whose hashes are low is ranked, some twice ``per_label``, however many tasks
+    there are; the chosen ids are few enough to broadcast: a fixed number for each
+    label. An id that repeats gives one text.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
+    draw = F.shiftrightunsigned(F.xxhash64("key"), 11) / float(1 << 53)
+    known = labelled.filter("key IS NOT NULL AND label IS NOT NULL").select("key", "label")
+    known = known.distinct().withColumn("draw", draw)
+    sizes = known.groupBy(F.col("label").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("label").orderBy("draw", "key")
     chosen = (
-        labelled.filter("key IS NOT NULL AND label IS NOT NULL")
+        known.join(sizes, F.col("label") == F.col("of"))
+        .filter(F.col("draw") * F.col("n") < 2 * per_label + 100)
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= per_label)
         .select("key", "label")
-        .distinct()
     )
     texts = docs.select(F.col(id_col).alias("own_key"), text_bytes(F.col(text_col)).alias("raw"))
     found = texts.join(F.broadcast(chosen), F.col("own_key") == F.col("key"))

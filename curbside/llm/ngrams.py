@@ -40,30 +40,48 @@ def byte_classes(raw: np.ndarray) -> np.ndarray:
     return _CLASS[raw]
 
 
+_POWERS = np.cumprod(np.full(1024, 0x01000193, np.uint32), dtype=np.uint32)
+
+
+def _word_pieces(inside: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of about a slice that cut no word."""
+    p, n = 0, len(inside)
+    while p < n:
+        q = min(p + SLICE, n)
+        while q < n and inside[q]:
+            blank = np.flatnonzero(~inside[q : q + SLICE])
+            q = min(n, q + (int(blank[0]) if len(blank) else SLICE))
+        yield p, q
+        p = q
+
+
 def repeated_words(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """1 for each byte of a word that equals the word before it in the text, else 0.
     Words stand between ASCII blanks."""
     out = np.zeros(len(raw), np.uint8)
     inside = _CLASS[raw] != 1
-    bounds = offsets[(offsets > 0) & (offsets < len(raw))]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    starts[bounds] = inside[bounds]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    ends[bounds - 1] = inside[bounds - 1]
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    lengths = ends - starts
-    if len(starts) < 2:
-        return out
-    place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    powers = np.cumprod(np.full(1024, 0x01000193, np.uint32), dtype=np.uint32)
-    values = (raw[inside] + np.uint32(1)) * powers[place % 1024]
-    word = np.add.reduceat(values, np.cumsum(lengths) - lengths, dtype=np.uint32)
-    text = np.searchsorted(offsets, starts, "right")
-    same = np.zeros(len(word), bool)
-    same[1:] = (word[1:] == word[:-1]) & (lengths[1:] == lengths[:-1]) & (text[1:] == text[:-1])
-    out[inside] = np.repeat(same, lengths)
+    last = (0, 0, -1)  # hash, length and text of the word before
+    for p, q in _word_pieces(inside):
+        own = inside[p:q]
+        bounds = offsets[(offsets > p) & (offsets < q)] - p
+        starts, ends = own.copy(), own.copy()
+        starts[1:] &= ~own[:-1]
+        ends[:-1] &= ~own[1:]
+        starts[bounds], ends[bounds - 1] = own[bounds], own[bounds - 1]
+        starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        if not len(starts):
+            continue
+        lengths = ends - starts
+        begins = np.cumsum(lengths) - lengths
+        place = np.arange(int(lengths.sum())) - np.repeat(begins, lengths)
+        values = (raw[p:q][own] + np.uint32(1)) * _POWERS[place % 1024]
+        word = np.add.reduceat(values, begins, dtype=np.uint32)
+        text = np.searchsorted(offsets, starts + p, "right")
+        same = np.empty(len(word), bool)
+        same[0] = (int(word[0]), int(lengths[0]), int(text[0])) == last
+        same[1:] = (word[1:] == word[:-1]) & (lengths[1:] == lengths[:-1]) & (text[1:] == text[:-1])
+        out[p:q][own] = np.repeat(same, lengths)
+        last = (int(word[-1]), int(lengths[-1]), int(text[-1]))
     return out
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbside.llm.common import bytes_and_offsets, fold_of, read_table
+from curbside.llm.common import bytes_and_offsets, fold_of, read_table, spans_of_rows
 from curbside.llm.ngrams import Grams, labelled_sample, labels_of, shares, table_sums
 
 FOLDS, HELD_OUT = 4, 2
@@ -28,6 +28,8 @@ ROWS_PER_LABEL = 1000
 DIMENSIONS = 16
 NEIGHBOURS = 15
 _BLOCK = 512
+# Bytes of text that a task looks at together.
+_TOGETHER = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -122,7 +124,12 @@ def quality_of(text: Column, space: Space) -> Column:
 
     @F.arrow_udf("double")
     def of_batch(column: pa.Array) -> pa.Array:
-        return pa.array(vote(space, *bytes_and_offsets(column)))
+        raw, offsets = bytes_and_offsets(column)
+        scores = [
+            vote(space, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for a, b in spans_of_rows(offsets, _TOGETHER)
+        ]
+        return pa.array(np.concatenate(scores) if scores else np.zeros(0))
 
     return of_batch.asNondeterministic()(text)
 

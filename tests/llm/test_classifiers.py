@@ -102,7 +102,9 @@ def test_slices_do_not_change_sums(monkeypatch):
     assert np.allclose(whole, alone)
 
 
-def test_repeated_words_stay_within_a_text():
+@pytest.mark.parametrize("size", [1, 2, 3, 1 << 18])
+def test_repeated_words_stay_within_a_text(monkeypatch, size):
+    monkeypatch.setattr("curbside.llm.ngrams.SLICE", size)
     raw, offsets = offsets_of([b"of of on", b"on  on", b"", b"x"])
     assert bytes(repeated_words(raw, offsets)) == bytes(
         [0, 0, 0, 1, 1, 0, 0, 0] + [0, 0, 0, 0, 1, 1] + [0]

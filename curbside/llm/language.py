@@ -19,11 +19,11 @@ from curbside.llm.common import bytes_and_offsets, fold_of, read_table
 from curbside.llm.ngrams import Grams, labelled_sample, shares, table_sums
 
 UNKNOWN = "und"
-FAMILIES = (Grams(2, 12, "lower"), Grams(3, 13, "lower"))
+FAMILIES = (Grams(2, 11, "lower"), Grams(3, 12, "lower"))
 FOLDS = 5
 
-# Training rows of each language; the classifiers see no more.
-ROWS_PER_LANGUAGE = 800
+# Training rows of each language, and of all; the classifiers see no more.
+ROWS_PER_LANGUAGE, ROWS = 400, 4_000
 AMBIGUOUS_BELOW = 0.6
 
 
@@ -88,10 +88,11 @@ def train(texts: Sequence[bytes], languages: Sequence[str]) -> LanguageModel:
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     raw = np.frombuffer(b"".join(texts), np.uint8)
     x = np.hstack(shares(raw, offsets, FAMILIES))
-    scale = 1 / (x.std(axis=0) + 1e-3)
+    scale = (1 / (x.std(axis=0) + 1e-3)).astype(np.float32)
+    x *= scale
     y = codes[[names.index(n) for n in languages]].astype(np.float32)
-    w, b = _logistic(x * scale, y)
-    right = ((x * scale) @ w + b > 0) == (y > 0)
+    w, b = _logistic(x, y)
+    right = (x @ w + b > 0) == (y > 0)
     weights = np.clip(right.mean(axis=0) - 0.5, 0.01, None)
     w = w * scale[:, None]
     cuts = np.cumsum([g.buckets for g in FAMILIES])[:-1]
@@ -125,11 +126,13 @@ def learn_languages(
     lang_col: str = "lang",
     per_language: int = ROWS_PER_LANGUAGE,
 ) -> LanguageModel:
-    """A model of at most ``per_language`` rows of each language among the rows to
-    ``learn`` from. Rows without a language teach nothing."""
+    """A model of at most ``per_language`` rows of each language, and ``ROWS`` in
+    all, among the rows to ``learn`` from. Rows without a language teach nothing."""
     labelled = docs.filter(learn).select(
         F.col(id_col).alias("key"), F.col(lang_col).alias("label")
     )
+    languages = labelled.filter("label IS NOT NULL").select("label").distinct().count()
+    per_language = max(1, min(per_language, ROWS // max(languages, 1)))
     sample = labelled_sample(docs, labelled, per_language, id_col, text_col)
     return train([raw for _, raw in sample], [label for label, _ in sample])
 

@@ -14,6 +14,7 @@ SQL_TYPES = {
     "string": "VARCHAR",
     "double": "DOUBLE",
     "date": "DATE",
+    "boolean": "BOOLEAN",
 }
 
 

@@ -1,7 +1,8 @@
 """The registered queries: each applies one operator to its whole table.
 
-None has SQL beside it: DuckDB has neither XXH64 with a seed, byte-level BPE, nor
-models to train. ``tests/llm`` holds each against a brute-force version instead.
+The two on vectors have SQL that checks them. For the others there is none: DuckDB has
+neither XXH64 with a seed, byte-level BPE, checksums by digit, nor models to train.
+``tests/llm`` holds each against a brute-force version instead.
 """
 
 from __future__ import annotations
@@ -30,4 +31,46 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_USABLE = """
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+
+ORACLE_SQL = {
+    "op1_embedding_dedup": f"""
+WITH RECURSIVE vectors AS (
+    SELECT * FROM ({_USABLE}) WHERE len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reached(vec_id, other) AS (
+    SELECT vec_id, vec_id FROM embeddings
+    UNION
+    SELECT r.vec_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), roots AS (
+    SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+), counts AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM roots LEFT JOIN counts ON a = vec_id
+""",
+    "op2_topk": f"""
+WITH vectors AS (
+    SELECT vec_id, list_transform(e, lambda x: CAST(floor(256 * x) AS BIGINT)) AS v
+    FROM ({_USABLE})
+), scores AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT)
+             AS score
+    FROM vectors q JOIN vectors c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+    WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place
+      FROM scores)
+WHERE place <= 5
+""",
+}

@@ -102,7 +102,7 @@ def _gatherer(top: int, lists: int):
                 ids += [qid[i]] * len(found)
                 vecs += vid[found].tolist()
                 totals += ranked[i, found].tolist()
-                tops += [top_of] * len(found)
+                tops += [top_of, *[None] * (len(found) - 1)]  # once for the block
         return pa.table(
             {
                 "query_id": pa.array(ids, pa.int64()),

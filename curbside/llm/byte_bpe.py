@@ -31,7 +31,7 @@ from curbside.llm.common import bytes_and_offsets, read_table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 # Text of one block, in characters; a longer text is a block of its own.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 6_000_000
 
 BLOCK = "block long, doc_ids array<long>, counts array<int>, codes binary, words binary"
 DEALT = "part int, block long, words binary"
@@ -87,7 +87,7 @@ def _words(squeezed: bytes) -> list[bytes]:
     raw = zstandard.decompress(squeezed)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
     ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
-    starts = np.concatenate(([4 + 4 * n], ends[:-1]))
+    starts = np.concatenate(([4 + 4 * n], ends))[:n]
     return [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
@@ -214,7 +214,6 @@ def _reassembler(parts: int):
         for start, end in zip([0, *ends[:-1]], ends, strict=True):
             mine = codes[start:end]
             found.append(gathered(ids, begins[mine], lengths[mine]).tobytes())
-        # A block can come more than once, from equal stretches of texts.
         return pa.table(
             {
                 "doc_id": pa.array(own["doc_ids"], pa.int64()),
@@ -222,8 +221,9 @@ def _reassembler(parts: int):
             }
         )
 
+    # Equal stretches of texts make equal blocks of one name, whose words are
+    # encoded alike, so it doesn't matter whose ids are taken.
     def all_of_name(blocks: pa.Table, encoded: pa.Table) -> pa.Table:
-        encoded = encoded.slice(0, encoded.num_rows)
         return pa.concat_tables(
             reassemble(blocks.slice(i, 1), encoded) for i in range(blocks.num_rows)
         )
@@ -259,7 +259,7 @@ def encode(
     )
     return (
         blocks.groupBy("block")
-        .cogroup(encoded.dropDuplicates(["block", "part"]).groupBy("block"))
+        .cogroup(encoded.groupBy("block"))
         .applyInArrow(_reassembler(parts), "doc_id long, ids binary")
     )
 
@@ -276,10 +276,9 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     def of_batch(column: pa.Array) -> pa.Array:
         table, begins = token_bytes(path)
         raw, offsets = bytes_and_offsets(column)
-        ids = np.frombuffer(raw.tobytes(), "<u4").astype(np.int64)
         found = []
-        for start, end in zip((offsets[:-1] // 4).tolist(), (offsets[1:] // 4).tolist(), strict=True):
-            own = ids[start:end]
+        for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            own = np.frombuffer(raw[start:end].tobytes(), "<u4").astype(np.int64)
             found.append(gathered(table, begins[own], begins[own + 1] - begins[own]).tobytes())
         return pa.array(found, pa.binary())
 

@@ -94,7 +94,8 @@ def _numbers(text: str) -> Iterator[Span]:
         if end - start < 7:
             continue
         for m in _IP.finditer(text, start, end):
-            if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+            parts = [p.lstrip("0") for p in m[0].split(".")]
+            if all(len(p) < 4 and int(p or "0") <= 255 for p in parts):
                 yield "ip", *m.span()
         for m in _CARD.finditer(text, start, end):
             digits = _digits(m[0])

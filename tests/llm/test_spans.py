@@ -97,6 +97,11 @@ def test_long_runs_take_linear_time(run):
     base_spans(text)
 
 
+def test_addresses_with_many_zeros():
+    text = "0" * 9000 + "1.0.000.255 and 1.2.3." + "9" * 9000
+    assert personal_spans(text)[0] == [("ip", 0, 9011)]
+
+
 def test_checksums_and_context():
     assert mod97("GB82WEST12345698765432") and not mod97("GB83WEST12345698765432")
     spans, scores = personal_spans("IBAN GB82 WEST 1234 5698 7654 32. Mail: a@b.co, then c@d.eu")

@@ -187,7 +187,14 @@ def _encoder(path: str):
     return encode
 
 
-def _reassembler(parts: int):
+def bytes_of(ids: bytes, path: str) -> bytes:
+    """What token ids, as little-endian 32-bit integers, stand for."""
+    table, begins = token_bytes(path)
+    own = np.frombuffer(ids, "<u4").astype(np.int64)
+    return gathered(table, begins[own], begins[own + 1] - begins[own]).tobytes()
+
+
+def _reassembler(parts: int, path: str, decoded: bool):
     def reassemble(block: pa.Table, encoded: pa.Table) -> pa.Table:
         own = {name: block[name][0].as_py() for name in block.column_names}
         words = _words(own["words"])
@@ -214,16 +221,18 @@ def _reassembler(parts: int):
         for start, end in zip([0, *ends[:-1]], ends, strict=True):
             mine = codes[start:end]
             found.append(gathered(ids, begins[mine], lengths[mine]).tobytes())
-        return pa.table(
-            {
-                "doc_id": pa.array(own["doc_ids"], pa.int64()),
-                "ids": pa.array(found, pa.binary()),
-            }
-        )
+        columns = {
+            "doc_id": pa.array(own["doc_ids"], pa.int64()),
+            "ids": pa.array(found, pa.binary()),
+        }
+        if decoded:
+            columns["decoded"] = pa.array([bytes_of(i, path) for i in found], pa.binary())
+        return pa.table(columns)
 
     # Equal stretches of texts make equal blocks of one name, whose words are
     # encoded alike, so it doesn't matter whose ids are taken.
     def all_of_name(blocks: pa.Table, encoded: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(
             reassemble(blocks.slice(i, 1), encoded) for i in range(blocks.num_rows)
         )
@@ -237,9 +246,11 @@ def encode(
     text_col: str = "text",
     ranks: str | None = None,
     parts: int | None = None,
+    decoded: bool = False,
 ) -> DataFrame:
     """``doc_id`` and ``ids``, the token ids as little-endian unsigned 32-bit
-    integers, of every row.
+    integers, of every row, and on demand the bytes they are ``decoded`` to, by the
+    task that has them at hand.
 
     Words are dealt into ``parts``, by default as many as the session has shuffle
     partitions. Null and empty texts have no ids; repeated rows come as often as
@@ -260,7 +271,10 @@ def encode(
     return (
         blocks.groupBy("block")
         .cogroup(encoded.groupBy("block"))
-        .applyInArrow(_reassembler(parts), "doc_id long, ids binary")
+        .applyInArrow(
+            _reassembler(parts, path, decoded),
+            "doc_id long, ids binary" + ", decoded binary" * decoded,
+        )
     )
 
 
@@ -274,19 +288,15 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 
     @F.arrow_udf("binary")
     def of_batch(column: pa.Array) -> pa.Array:
-        table, begins = token_bytes(path)
         raw, offsets = bytes_and_offsets(column)
-        found = []
-        for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            own = np.frombuffer(raw[start:end].tobytes(), "<u4").astype(np.int64)
-            found.append(gathered(table, begins[own], begins[own + 1] - begins[own]).tobytes())
-        return pa.array(found, pa.binary())
+        each = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+        return pa.array([bytes_of(raw[a:b].tobytes(), path) for a, b in each], pa.binary())
 
     return encoded.withColumn("decoded", of_batch.asNondeterministic()(F.col("ids")))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode(encode(read_table(spark, sf_dir, "documents")))
+    coded = encode(read_table(spark, sf_dir, "documents"), decoded=True)
     return coded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).alias("n_tokens"),

@@ -77,6 +77,8 @@ def test_odd_texts(spark, make_docs, library, monkeypatch, chars):
         for i, t in [*enumerate(ODD), (None, "again"), (1, "again"), (1, "again")]
     )
     assert got == want
+    both = encode(docs, decoded=True).collect()
+    assert sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in both) == want
     assert encode(docs.limit(0)).count() == 0
 
 

@@ -47,7 +47,10 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 _HEX = re.compile(rf"[0-9a-f]{{{LEAST_HEX},}}+")
-_TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}+")
+# Without "=": it stands before a token or pads its end.
+_TOKEN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}+")
+# Where a token without an encoding is cut, coarse to fine.
+_CUTS = [re.compile(p) for p in (r"[^/]++", r"[^_-]++", r"[^+/_-]++")]
 
 # Alphabets from the narrowest to the widest; a token has the first that holds it.
 _DIGITS = "0123456789"
@@ -129,16 +132,53 @@ def length_class(length: int) -> int:
     return max(c for c in LENGTH_CLASSES if c <= length)
 
 
-def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int, int, float]]:
-    """Start, end, length class and p-value of each token that no base span meets."""
-    ends = [(s, e) for _, s, e in base]
+def _tokens(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
+    """Start and end of the long tokens, less what base spans hold of them."""
+    held: list[list[int]] = []
+    for _, start, end in base:
+        if held and start <= held[-1][1]:
+            held[-1][1] = max(held[-1][1], end)
+        else:
+            held.append([start, end])
+    i = 0
     for m in _TOKEN.finditer(text):
-        token = m[0].rstrip("=")
-        start, end = m.start(), m.start() + len(token)
-        if len(token) < LEAST_TOKEN or any(s < end and start < e for s, e in ends):
-            continue
-        if encoding := encoding_of(token):
-            yield start, end, length_class(len(token)), p_random(token, encoding)
+        start, end = m.span()
+        while i < len(held) and held[i][1] <= start:
+            i += 1
+        while i < len(held) and held[i][0] < end:
+            if held[i][0] - start >= LEAST_TOKEN:
+                yield start, held[i][0]
+            start = held[i][1]
+            if start >= end:
+                break
+            i += 1
+        if end - start >= LEAST_TOKEN:
+            yield start, end
+
+
+def _parts(token: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and encoding of the token or, where it has none, of its long parts
+    between slashes, dashes and underscores that no coarser part holds."""
+    if encoding := encoding_of(token):
+        yield 0, len(token), encoding
+        return
+    taken = bytearray(len(token))
+    for cut in _CUTS:
+        for m in cut.finditer(token):
+            start, end = m.span()
+            if end - start < LEAST_TOKEN or taken.count(1, start, end) == end - start:
+                continue
+            if encoding := encoding_of(m[0]):
+                taken[start:end] = b"\1" * (end - start)
+                yield start, end, encoding
+
+
+def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int, int, float]]:
+    """Start, end, length class and p-value of each token outside the base spans."""
+    for at, stop in _tokens(text, base):
+        for start, end, encoding in _parts(text[at:stop]):
+            token = text[at + start : at + end]
+            yield at + start, at + end, length_class(len(token)), p_random(token, encoding)
 
 
 def _bin(p: float) -> int:

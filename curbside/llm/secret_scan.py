@@ -1,12 +1,15 @@
 """Secrets: fixed patterns, and tokens that pass a battery of randomness tests.
 
 A long token without prose characters is tried against the alphabet of its inferred
-encoding: uniformity (chi-squared), runs above and below the middle of the alphabet,
-and serial correlation. Random tokens have evenly spread p-values, structured ones
-small values. For each class of lengths the p-values of the whole corpus therefore
-tell which part of the tokens above a cutoff is structured, and the lowest cutoff
-that holds this false-discovery rate is used; classes whose tests are too weak to
-hold it report nothing.
+encoding. First by words: how much likelier its letters, cases and separators are as
+words and numbers than as random characters of the encoding. A random token reaches 7
+bits once in 128 at most, whatever its length; what does is structured. Then by
+uniformity (chi-squared), runs above and below the middle of the alphabet, and serial
+correlation, as a rank among random tokens of the same encoding and length: even for
+random tokens, small for structured ones. For each class of lengths these ranks of
+the whole corpus tell which part above a cutoff is still structured, and the lowest
+cutoff that holds this false-discovery rate is used. Without evidence of structure a
+class reports all, and none is cut above the middle, where the rate holds anyway.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,15 @@ FALSE_DISCOVERIES = 0.05
 # Lower ends of the length classes, and how finely p-values are counted.
 LENGTH_CLASSES = (20, 24, 32, 40, 64, 128)
 P_BINS = 20
+# Bits by which a token is words, and the rank among NULL_DRAWS random tokens below
+# which it is structured without regard to the corpus.
+WORD_BITS = 7.0
+LEAST_P = 0.005
+NULL_DRAWS = 400
+# Lengths above share the null of this one.
+NULL_LENGTH = 256
+# How unlikely the ranks of a class must be for random tokens alone to be cut.
+EVIDENCE = 0.01
 
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -68,6 +81,22 @@ ENCODINGS = {
 }
 _PLACES = {name: {c: i for i, c in enumerate(chars)} for name, chars in ENCODINGS.items()}
 
+# Bits that a letter or the end of a word (the first row and column) costs after
+# another: identifiers of the Python library and prose in four languages.
+_LETTER_BITS = """
+a35443566487554457443666888 37645686849744376944347887a 449672a9954a29947a6684aaa49
+44a7949a23a447938a673699a9a 2479628a739a69649a6565a898a 2485466885a9463768344778688
+1598755993aa69838a4665aaa8a 247892a754a958558a546588aa8 2368a2a854a869648a655787aa8
+4675644698a9552369633a697a7 22a6a2aaa7a7aaa47a9794aaa9a 26a8719794aa596779748695a9a
+34886239a3a949847a855599a4a 3359729aa4a976833a9576aaa8a 2475337465a7686479753677a89
+47655848a6a765275a3553769a9 3397735a85a949835a364599a5a 4aaa9aaaa9aa9a889a78a0aaaaa
+2477728574a776448a555687a69 2685829744987885697535a8a7a 2487838923a978748a456598a67
+3666836785a94536583448894a9 42a9a19993aaa7859a99aaa9aaa 3399749a13aa79549a469aa89aa
+1483948a95aa67a647672a7a789 1678849965aa76553a744996a99 256682a7748766868876627aa97
+"""
+_SYMBOLS = _LOWER + _UPPER + _DIGITS + "+/-_"
+_SYMBOL = {c: i for i, c in enumerate(_SYMBOLS)}
+
 Span = tuple[str, int, int]
 
 
@@ -92,6 +121,39 @@ def encoding_of(token: str) -> str | None:
     return next((n for n, places in _PLACES.items() if used <= places.keys()), None)
 
 
+def _word_bits() -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the first symbol and of each after another, in words,
+    camel case, numbers and separators."""
+    letters = np.exp2([[-int(c, 16) for c in row] for row in _LETTER_BITS.split()])
+    letters /= letters.sum(axis=1, keepdims=True)
+    opening = letters[0, 1:] / letters[0, 1:].sum()
+    digits, marks = np.full(10, 1 / 10), np.full(4, 1 / 4)
+
+    def after(letter: float, digit: float, mark: float) -> np.ndarray:
+        return np.concatenate(
+            [letter / 2 * opening, letter / 2 * opening, digit * digits, mark * marks]
+        )
+
+    lower, upper = [], []
+    for row in letters[1:]:
+        end, inner = row[0], row[1:]
+        other = [end / 2 * digits, end / 2 * marks]
+        lower.append(np.concatenate([0.9 * inner, 0.1 * (1 - end) * opening, *other]))
+        upper.append(np.concatenate([0.5 * inner, 0.5 * inner, *other]))
+    rest = [after(0.15, 0.7, 0.15)] * 10 + [after(0.6, 0.35, 0.05)] * 4
+    return np.log2(after(0.75, 0.2, 0.05)), np.log2(np.array([*lower, *upper, *rest]))
+
+
+_FIRST, _NEXT = _word_bits()
+
+
+def word_bits(token: str, encoding: str) -> float:
+    """By how many bits the token is likelier as words than as random characters."""
+    at = np.array([_SYMBOL[c] for c in token])
+    words = _FIRST[at[0]] + _NEXT[at[:-1], at[1:]].sum()
+    return float(words + len(token) * math.log2(len(ENCODINGS[encoding])))
+
+
 def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -128,6 +190,26 @@ def p_random(token: str, encoding: str) -> float:
     return 1 - (1 - min(1.0, *tails)) ** len(tails)
 
 
+@lru_cache(maxsize=None)
+def _null(encoding: str, length: int) -> np.ndarray:
+    """P-values of random tokens, in order."""
+    chars = np.array(list(ENCODINGS[encoding]))
+    drawn = np.random.default_rng(length).integers(0, len(chars), (NULL_DRAWS, length))
+    return np.sort([p_random("".join(row), encoding) for row in chars[drawn]])
+
+
+def rank_random(token: str, encoding: str) -> float:
+    """The p-value's rank among random tokens of the encoding and length; 0 where the
+    token is words or no random one looks as structured."""
+    if word_bits(token, encoding) >= WORD_BITS:
+        return 0.0
+    null = _null(encoding, min(len(token), NULL_LENGTH))
+    p = p_random(token, encoding)
+    rank = (np.searchsorted(null, p, "left") + np.searchsorted(null, p, "right")) / 2
+    at = float((rank + 0.5) / (NULL_DRAWS + 1))
+    return at if at >= LEAST_P else 0.0
+
+
 def length_class(length: int) -> int:
     return max(c for c in LENGTH_CLASSES if c <= length)
 
@@ -156,29 +238,31 @@ def _tokens(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
-def _parts(token: str) -> Iterator[tuple[int, int, str]]:
-    """Start, end and encoding of the token or, where it has none, of its long parts
-    between slashes, dashes and underscores that no coarser part holds."""
-    if encoding := encoding_of(token):
-        yield 0, len(token), encoding
+def _parts(token: str) -> Iterator[tuple[int, int, float]]:
+    """Start, end and rank of the token or, where it has no encoding or is structured,
+    of its long parts between slashes, dashes and underscores that are not and that no
+    coarser part holds."""
+    if (encoding := encoding_of(token)) and (p := rank_random(token, encoding)):
+        yield 0, len(token), p
         return
     taken = bytearray(len(token))
     for cut in _CUTS:
         for m in cut.finditer(token):
             start, end = m.span()
-            if end - start < LEAST_TOKEN or taken.count(1, start, end) == end - start:
+            length = end - start
+            if not LEAST_TOKEN <= length < len(token) or taken.count(1, start, end) == length:
                 continue
-            if encoding := encoding_of(m[0]):
-                taken[start:end] = b"\1" * (end - start)
-                yield start, end, encoding
+            if (encoding := encoding_of(m[0])) and (p := rank_random(m[0], encoding)):
+                taken[start:end] = b"\1" * length
+                yield start, end, p
 
 
 def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int, int, float]]:
-    """Start, end, length class and p-value of each token outside the base spans."""
+    """Start, end, length class and rank of each token outside the base spans that is
+    not structured by itself."""
     for at, stop in _tokens(text, base):
-        for start, end, encoding in _parts(text[at:stop]):
-            token = text[at + start : at + end]
-            yield at + start, at + end, length_class(len(token)), p_random(token, encoding)
+        for start, end, p in _parts(text[at:stop]):
+            yield at + start, at + end, length_class(end - start), p
 
 
 def _bin(p: float) -> int:
@@ -207,13 +291,21 @@ def cutoffs(counts: dict[tuple[int, int], int], rate: float = FALSE_DISCOVERIES)
     """For each length class the lowest bin from which on all are reported.
 
     The upper half of the p-values is taken to be of random tokens, so their
-    number is twice that half's, and the part of it in any bin is the same.
+    number is twice that half's, and the part of it in any bin is the same. Where the
+    lower half is no larger than chance makes it, or nothing is structured, all are
+    reported; from the middle on the rate always holds.
     """
     lowest = {}
     for of in {c for c, _ in counts}:
         n = [counts.get((of, b), 0) for b in range(P_BINS)]
-        random = min(sum(n), 2 * sum(n[P_BINS // 2 :]))
-        for b in range(P_BINS // 2):
+        upper = sum(n[P_BINS // 2 :])
+        # Of as many random tokens, how often so few lie in the upper half.
+        spread = math.sqrt(sum(n)) / 2
+        if _normal_tail((sum(n) / 2 - upper - 0.5) / spread) > EVIDENCE:
+            lowest[of] = 0
+            continue
+        random = min(sum(n), 2 * upper)
+        for b in range(P_BINS // 2 + 1):
             above = sum(n[b:])
             structured = max(0.0, above - random * (1 - b / P_BINS))
             if above and structured <= rate * above:

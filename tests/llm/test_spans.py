@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 
 import pytest
 
@@ -13,6 +14,9 @@ from curbside.llm.pii import BASE_KINDS as PII_KINDS
 from curbside.llm.pii import luhn, mod97, op4_pii, personal_data, personal_spans
 from curbside.llm.secret_scan import BASE_KINDS as SECRET_KINDS
 from curbside.llm.secret_scan import (
+    ENCODINGS,
+    LENGTH_CLASSES,
+    _bin,
     _tokens,
     base_spans,
     candidates,
@@ -21,6 +25,7 @@ from curbside.llm.secret_scan import (
     learned_cutoffs,
     op9_secrets,
     p_random,
+    rank_random,
     redacted,
     secret_spans,
 )
@@ -184,3 +189,48 @@ def test_tokens_around_base_spans_by_brute_force():
             marked[start:end] = " " * (end - start)
         want = {m.span() for m in re.finditer("[A-Za-z0-9+/_-]{20,}", "".join(marked))}
         assert list(_tokens(text, base)) == sorted(want)
+
+
+def planted(draw, alphabet, length):
+    return "".join(draw.choices(alphabet, k=length))
+
+
+def slug(draw, length):
+    words = ("customer", "invoice", "reader", "upload", "final", "daily", "station", "market")
+    way = draw.choice(("-", "_", "/", ""))
+    parts = [w.title() if not way else w for w in draw.choices(words, k=length // 4)]
+    return way.join(parts)[: length - 4] + way + str(draw.randint(1900, 2099))
+
+
+@pytest.mark.parametrize("length", LENGTH_CLASSES)
+def test_recall_of_planted_keys_among_slugs(length):
+    """Keys of every encoding and length class, each class with 20 slugs a key."""
+    draw = random.Random(length)
+    alphabets = {name: chars for name, chars in ENCODINGS.items() if name != "hex"}
+    keys = [planted(draw, chars, length) for chars in alphabets.values() for _ in range(30)]
+    texts = [f"x {key} y" for key in keys]
+    texts += [f"x {slug(draw, length)} y" for _ in range(20 * len(keys))]
+    counts = Counter()
+    for text in texts:
+        counts.update((c, _bin(p)) for _, _, c, p in candidates(text, base_spans(text)))
+    lowest = cutoffs(counts)
+    found = [bool(secret_spans(text, lowest)) for text in texts]
+    assert sum(found[: len(keys)]) >= 0.95 * len(keys)
+    assert sum(found[len(keys) :]) <= 0.05 * sum(found)
+
+
+def test_a_class_of_few_tokens_is_not_void():
+    # Without a token in the upper half, but no more than chance makes it.
+    assert cutoffs({(20, 3): 1, (20, 8): 2}) == {20: 0}
+    # Above the middle the rate holds by definition.
+    assert cutoffs({(20, b): 400 for b in range(10)} | {(20, 15): 9}) == {20: 10}
+
+
+def test_ranks_of_random_tokens_are_even():
+    draw = random.Random(3)
+    for name in ("base32", "base62", "base64url"):
+        for length in (20, 33):
+            p = [rank_random(planted(draw, ENCODINGS[name], length), name) for _ in range(400)]
+            assert 0.4 < sum(x < 0.5 for x in p) / 400 < 0.6
+            assert sum(x == 0 for x in p) <= 10
+    assert rank_random("getUserNameFromContext", "base62") == 0

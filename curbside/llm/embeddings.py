@@ -5,7 +5,8 @@ is coded by subspace. A vector probes every list that can hold one within reach
 it: two unit vectors of cosine c or more are no farther apart than r = sqrt(2 - 2c),
 so each lies within r of the plane between their lists' centres. In a list, distances
 come from lookup tables; with the error of each code they bound the true distance
-from below, so no link is missed, and what passes is measured exactly.
+from below, so no link is missed, and what passes is measured exactly. Vectors with
+another number of components have an index of their own, or one list where few do.
 """
 
 from __future__ import annotations
@@ -22,12 +23,17 @@ from curbside.llm.components import components
 
 COSINE = 0.98
 
-# Rows the index is fitted on, at most; its lists, subspaces and codes of each.
+# Rows the indexes are fitted on, at most; lists, subspaces and codes of each.
 SAMPLE_ROWS = 8_192
 LISTS = 16
 SUBSPACES = 8
 CODES = 64
 
+# Numbers of components that are indexed, at most: the commonest, and others with as
+# many vectors as this. The rest have one list and are compared exactly.
+INDEXES = 8
+LEAST_INDEXED = 2_048
+
 # Of a list's members and of its probing vectors, those that one task compares.
 BLOCK = 256
 
@@ -71,6 +77,12 @@ def fit(sample: np.ndarray, cosine: float = COSINE, seed: int = 9) -> Index:
     return Index(centres, codebooks, cuts, float(np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6))
 
 
+def one_list(size: int, cosine: float = COSINE) -> Index:
+    """An index of one list and one code, which every pair passes."""
+    zero, cuts = np.zeros((1, size)), np.array([0, size])
+    return Index(zero, [zero], cuts, float(np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6))
+
+
 def _coded(index: Index, x: np.ndarray):
     """List, codes and code error of unit vectors, and the lists each must probe:
     its own and, to meet every pair once, those of a higher number within reach."""
@@ -110,15 +122,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _coder(index: Index):
+def _coder(indexes: dict[int, Index], cosine: float):
     @F.arrow_udf("struct<list: int, codes: binary, error: double, probes: array<int>>")
     def of_batch(column: pa.Array) -> pa.Array:
         fields = ["list", "codes", "error", "probes"]
         kinds = [pa.int32(), pa.binary(), pa.float64(), pa.list_(pa.int32())]
-        if not len(column):
-            return pa.StructArray.from_arrays([pa.array([], k) for k in kinds], fields)
-        own, codes, error, probes = _coded(index, _unit(_matrix(column)))
-        values = [own, [c.tobytes() for c in codes], error, probes]
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        values: list[list] = [[None] * len(column) for _ in fields]
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            index = indexes.get(size) or one_list(size, cosine)
+            own, codes, error, probes = _coded(index, _unit(_matrix(column.take(pa.array(at)))))
+            found = [own.tolist(), [c.tobytes() for c in codes], error.tolist(), probes]
+            for into, some in zip(values, found, strict=True):
+                for i, value in zip(at, some, strict=True):
+                    into[i] = value
         arrays = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
         return pa.StructArray.from_arrays(arrays, fields)
 
@@ -128,7 +146,7 @@ def _coder(index: Index):
 LINKS = "rep long, mark long, links long, other long"
 
 
-def _comparer(index: Index, cosine: float):
+def _comparer(indexes: dict[int, Index], cosine: float):
     """Links between the probing vectors and the members of one block of a list: for
     each vector how many copies it is linked to, and edges of a spanning forest."""
 
@@ -140,6 +158,7 @@ def _comparer(index: Index, cosine: float):
         q, m = np.flatnonzero(probing), np.flatnonzero(~probing)
         linked = []
         if len(q) and len(m):
+            index = indexes.get(x.shape[1]) or one_list(x.shape[1], cosine)
             here = int(rows["probed"][0].as_py())
             codes = np.stack(
                 [np.frombuffer(rows["codes"][int(i)].as_py(), np.uint8) for i in m]
@@ -204,6 +223,20 @@ def _usable(embedding: Column) -> Column:
     return finite & F.exists(embedding, lambda x: x != 0)
 
 
+def _indexes(distinct: DataFrame, cosine: float) -> dict[int, Index]:
+    """Indexes by number of components; none where there are no vectors."""
+    most = distinct.groupBy("size").count().orderBy(F.desc("count"), "size").take(INDEXES)
+    chosen = [r["size"] for i, r in enumerate(most) if not i or r["count"] >= LEAST_INDEXED]
+    indexes = {}
+    for size in chosen:
+        alike = distinct.filter(F.col("size") == size)
+        sample = alike.select("rep", "mark").orderBy(F.xxhash64("rep", "mark"))
+        sample = F.broadcast(sample.limit(SAMPLE_ROWS // len(chosen)))
+        rows = alike.join(sample, ["rep", "mark"], "left_semi").select("embedding").collect()
+        indexes[size] = fit(_unit(np.array([r[0] for r in rows], float)), cosine)
+    return indexes
+
+
 def near_duplicate_vectors(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -217,8 +250,8 @@ def near_duplicate_vectors(
     Only vectors with the same label that isn't null are compared. Null, empty and
     zero vectors and those with null or non-finite components link with nothing,
     and so do rows without an id, whose component is null. Rows alike in id, label
-    and vector are one vector. Vectors with another number of components than most
-    have link with nothing. An empty table gives an empty one.
+    and vector are one vector. Vectors with unequal numbers of components are not
+    compared. An empty table gives an empty one.
 
     Equal vectors of a label are compared once and count as often as they come. A
     list with very many members or probing vectors is cut into blocks, so a dense
@@ -233,29 +266,25 @@ def near_duplicate_vectors(
         _usable(F.col("embedding")) & F.col("vec_id").isNotNull() & F.col("label").isNotNull(),
         F.lit(False),
     )
-    sizes = rows.filter(usable).groupBy(F.size("embedding").alias("n")).count()
-    most = sizes.orderBy(F.desc("count"), "n").first()
-    alone = ~usable if most is None else ~(usable & (F.size("embedding") == most["n"]))
-    lonely = rows.filter(alone).select(
+    lonely = rows.filter(~usable).select(
         "vec_id",
         F.lit(0).cast("long").alias("n_links"),
         F.col("vec_id").alias("component_id"),
     )
-    if most is None:
-        return lonely.withColumn("kept", F.col("vec_id").isNotNull())
-    comparable = rows.filter(usable & (F.size("embedding") == most["n"]))
+    comparable = rows.filter(usable)
     distinct = written(
         comparable.groupBy("label", "embedding")
         .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("mark", F.xxhash64("label", "embedding")),
+        .withColumn("mark", F.xxhash64("label", "embedding"))
+        .withColumn("size", F.size("embedding")),
         "vectors",
     )
-    sample = distinct.select("rep", "mark").orderBy(F.xxhash64("rep", "mark")).limit(SAMPLE_ROWS)
-    chosen = distinct.join(F.broadcast(sample), ["rep", "mark"], "left_semi").select("embedding")
-    index = fit(_unit(np.array([r[0] for r in chosen.collect()], float)), cosine)
+    indexes = _indexes(distinct, cosine)
+    if not indexes:
+        return lonely.withColumn("kept", F.col("vec_id").isNotNull())
 
-    coded = distinct.withColumn("c", _coder(index)(F.col("embedding")))
-    coded = coded.select("label", "rep", "mark", "copies", "embedding", "c.*")
+    coded = distinct.withColumn("c", _coder(indexes, cosine)(F.col("embedding")))
+    coded = coded.select("label", "size", "rep", "mark", "copies", "embedding", "c.*")
     members = coded.select(
         "*", F.col("list").alias("probed"), F.lit(False).alias("probing")
     ).drop("probes")
@@ -263,19 +292,26 @@ def near_duplicate_vectors(
         "*", F.explode("probes").alias("probed"), F.lit(True).alias("probing")
     ).drop("probes")
     each = members.unionByName(queries)
-    sizes = each.groupBy(F.col("label").alias("label_"), F.col("probed").alias("probed_")).agg(
+    sizes = each.groupBy(
+        F.col("label").alias("label_"),
+        F.col("size").alias("size_"),
+        F.col("probed").alias("probed_"),
+    ).agg(
         F.ceil(F.count_if(~F.col("probing")) / block).cast("int").alias("member_blocks"),
         F.ceil(F.count_if("probing") / block).cast("int").alias("query_blocks"),
     )
     placed = each.join(
-        sizes, (F.col("label") == F.col("label_")) & (F.col("probed") == F.col("probed_"))
+        sizes,
+        (F.col("label") == F.col("label_"))
+        & (F.col("size") == F.col("size_"))
+        & (F.col("probed") == F.col("probed_")),
     )
     probing = F.col("probing")
     own_blocks = F.when(probing, F.col("query_blocks")).otherwise(F.col("member_blocks"))
     others = F.when(probing, F.col("member_blocks")).otherwise(F.col("query_blocks"))
     own = F.pmod(F.xxhash64("rep", "mark"), own_blocks).cast("int")
     placed = placed.select(
-        "label", "probed", "probing", "rep", "mark", "copies", "embedding", "list", "codes",
+        "label", "size", "probed", "probing", "rep", "mark", "copies", "embedding", "list", "codes",
         "error", own.alias("own"),
         F.explode(F.sequence(F.lit(0), F.greatest(others, F.lit(1)) - 1)).alias("met"),
     ).select(
@@ -284,8 +320,8 @@ def near_duplicate_vectors(
         F.when(probing, F.col("own")).otherwise(F.col("met")).alias("query_block"),
     )
     found = written(
-        placed.groupBy("label", "probed", "member_block", "query_block").applyInArrow(
-            _comparer(index, cosine), LINKS
+        placed.groupBy("label", "size", "probed", "member_block", "query_block").applyInArrow(
+            _comparer(indexes, cosine), LINKS
         ),
         "vector-links",
     )

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from curbside.llm import embeddings
 from curbside.llm.embeddings import near_duplicate_vectors, op1_embedding_dedup
 from curbside.llm.topk_search import op2_topk, top_inner_products, whole_vectors
 from tests.conftest import DATA
@@ -51,6 +52,27 @@ def test_links_of_clusters(spark, block):
     assert len(found) == 400 and sum(n for n, _ in want.values()) > 400
 
 
+@pytest.mark.parametrize("least", [10, 1_000])
+def test_links_of_vectors_of_several_lengths(spark, monkeypatch, least):
+    """Each length as if it were alone, with indexes of their own and without."""
+    monkeypatch.setattr(embeddings, "LEAST_INDEXED", least)
+    draw = np.random.default_rng(least)
+    tables, at = [], 0
+    for dims, n in ((16, 120), (5, 80), (24, 30), (1, 3), (70, 2)):
+        x = clustered(draw, n, dims)
+        x[1] = x[0]
+        labels = [0, 0, *draw.integers(0, 2, n - 2)]
+        tables.append([(at + i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, labels, strict=True))])
+        at += n
+    rows = [row for table in tables for row in table]
+    found = near_duplicate_vectors(
+        spark.createDataFrame([rows[i] for i in draw.permutation(at)], VECTORS), block=13
+    ).collect()
+    want = {k: v for table in tables for k, v in plain_links(table).items()}
+    assert len(found) == at and all(plain_links(table)[table[0][0]][0] for table in tables)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == want
+
+
 def test_embeddings_of_the_whole_table(spark):
     rows = spark.read.parquet(f"{DATA}/sf0.01/embeddings.parquet").select(
         "vec_id", "embedding", "label"

@@ -234,3 +234,23 @@ def test_ranks_of_random_tokens_are_even():
             assert 0.4 < sum(x < 0.5 for x in p) / 400 < 0.6
             assert sum(x == 0 for x in p) <= 10
     assert rank_random("getUserNameFromContext", "base62") == 0
+
+
+@pytest.mark.parametrize(
+    "account",
+    ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES9121000418450200051332",
+     "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00",
+     "PL61 1090 1014 0000 0712 1981 2874", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"],
+)
+@pytest.mark.parametrize(
+    "after", ["", " BIC GEBABEBB", " CALL NOW", " SWIFT", " A B C", " REFERENCE", " Bic", ", X"]
+)
+@pytest.mark.parametrize("before", ["", "IBAN ", "AB12 CDEF GHIJ "])
+def test_accounts_before_upper_case_words(before, account, after):
+    found = personal_spans(before + account + after)[0]
+    assert ("iban", len(before), len(before) + len(account)) in found
+
+
+def test_accounts_within_words_are_none():
+    for text in ("xBE68539007547034", "BE68539007547034x", "BE68 5390 0754 7034x", "BE69 5390 0754 7034 BIC"):
+        assert personal_spans(text)[0] == []

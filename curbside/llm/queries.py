@@ -8,6 +8,7 @@ neither XXH64 with a seed, byte-level BPE, checksums by digit, nor models to tra
 from __future__ import annotations
 
 from curbside.llm.byte_bpe import op6_byte_bpe
+from curbside.llm.collocations import op11_collocations
 from curbside.llm.embeddings import op1_embedding_dedup
 from curbside.llm.language import op7_language
 from curbside.llm.packing import op8_packing
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
 }
 
 _USABLE = """
@@ -72,5 +74,50 @@ SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place
       FROM scores)
 WHERE place <= 5
+""",
+    "op11_collocations": r"""
+WITH texts AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents WHERE text IS NOT NULL
+), pieces AS (
+    SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts
+), lines AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lines GROUP BY lang
+), places AS (
+    SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+    FROM lines, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m
+), f AS (
+    SELECT lang, m, w[i : i + m - 1] AS p, count(*) AS a FROM places
+    GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+    SELECT lang, m, p, a, unnest(range(1, m)) AS k FROM f WHERE m > 1
+), scores AS (
+    SELECT c.lang, c.m, c.p, c.a, c.k, x.a AS l, y.a AS r,
+           CAST(CAST(c.a AS HUGEINT) * 2000000 // (x.a + y.a) AS BIGINT) AS score
+    FROM cuts c
+    JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : c.k]
+    JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1 : c.m]
+), lowest AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS place FROM scores
+), lengths AS (
+    SELECT lang, m, p, a, unnest(range(2, m)) AS size FROM f WHERE m > 2
+), inner_places AS (
+    SELECT *, unnest(range(1, m - size + 2)) AS i FROM lengths
+), within AS (
+    SELECT lang, p[i : i + size - 1] AS p, max(a) AS longer FROM inner_places GROUP BY ALL
+), phrases AS (
+    SELECT o.lang, array_to_string(o.p, ' ') AS phrase, o.a, o.l, o.r, o.score
+    FROM lowest o LEFT JOIN within w ON w.lang = o.lang AND w.p = o.p
+    WHERE o.place = 1
+      AND (w.longer IS NULL OR 100 * CAST(w.longer AS HUGEINT) < 80 * CAST(o.a AS HUGEINT))
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM phrases
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang)
+WHERE rank <= 2000
 """,
 }

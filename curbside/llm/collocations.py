@@ -7,10 +7,12 @@ of merged stripes then gives everything: a prefix's own occurrences are the sum
 stripe, a longer phrase's are an element of it, and the largest element says how often
 the prefix is part of something longer.
 
-A phrase that occurs often enough consists of words and pairs that do. Words are
-counted first, then stripes of single words are made of frequent words only, then
-those of two and three words of frequent pairs only. Tasks know the frequent ones by a
-Bloom filter of bounded size: what it lets through wrongly is counted and dropped.
+A phrase that occurs often enough consists of words, pairs and triples that do. So words
+are counted first, then stripes are made of prefixes of one, two and three words in
+turn, each time of frequent prefixes only. Tasks know the frequent ones by a Bloom filter
+of bounded size: what it lets through wrongly is counted and dropped. The stripes of
+prefixes that occur very often are cut into segments by the word that follows, for they
+may hold most other words; which those are, tasks know in the same way.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curbside.llm.bloom import Bloom, bloom_of, joined
-from curbside.llm.common import read_table, written
+from curbside.llm.common import bytes_and_offsets, read_table, written
 from curbside.llm.wordstream import BLANKS, summed, text_spans, word_bytes, words_of
 
 LEAST = 30
@@ -35,27 +37,25 @@ UNKNOWN = "und"
 
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 
-# Parts that the stripe of a prefix is cut into by the word that follows, by the words
-# of the prefix: the stripe of one very common word may hold most other words.
-SEGMENTS = {1: 8, 2: 4, 3: 4}
+# Occurrences from which a prefix's stripe is cut, and into how many segments.
+HOT, SEGMENTS = 1 << 16, 64
 
 _INSIDE = word_bytes(BLANKS + PIECE_ENDS)
 _ENDS = ~word_bytes(PIECE_ENDS)
+_NONE = "\n"  # follows a prefix where no frequent word does; no word contains it
 
+# A stripe on its way: the words that follow between blanks, and their counts as
+# unsigned 32-bit integers. Far smaller than arrays where most have one or two.
 _STRIPE = pa.schema(
     [
         ("lang", pa.string()),
         ("prefix", pa.string()),
-        ("words", pa.int32()),
         ("segment", pa.int32()),
-        ("nexts", pa.list_(pa.string())),
-        ("counts", pa.list_(pa.int64())),
+        ("nexts", pa.string()),
+        ("counts", pa.binary()),
     ]
 )
-_STRIPE_TYPES = (
-    "lang string, prefix string, words int, segment int, nexts array<string>, counts array<bigint>"
-)
-_NONE = ""  # follows a prefix where no frequent word does; no word is empty
+_STRIPE_TYPES = "lang string, prefix string, segment int, nexts string, counts binary"
 
 
 def _hash(values: pa.Array) -> np.ndarray:
@@ -88,95 +88,76 @@ class _Span:
 
     def follows(self, by: int) -> np.ndarray:
         """Whether the word so many places on belongs to the same piece."""
-        out = np.zeros(len(self.word), bool)
-        if len(self.word) > by:
-            out[:-by] = self.piece[by:] == self.piece[:-by]
-        return out
-
-    def after(self, by: int, ok: np.ndarray) -> np.ndarray:
-        """The word so many places on where that is ``ok``, else one past the last."""
-        out = np.full(len(self.word), len(self.counts), np.int64)
-        out[:-by] = np.where(ok[:-by], self.word[by:], len(self.counts))
+        n = len(self.word)
+        out = np.zeros(n, bool)
+        if n > by:
+            out[: n - by] = self.piece[by:] == self.piece[: n - by]
         return out
 
 
-def _stripes(
-    span: _Span, prefix: np.ndarray, following: np.ndarray, lang: pa.Array, text: pa.Array,
-    words: int, part: np.ndarray,
-) -> pa.Table:
-    """Stripes of the prefixes (numbers into ``lang`` and ``text``) and the words that
-    follow them; ``part`` is the segment of each distinct word and of none."""
-    many = len(part)
-    line = np.sort((prefix * SEGMENTS[words] + part[following]) * many + following)
-    first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else line
+def _packed(values: np.ndarray, places: np.ndarray, width: str) -> pa.Array:
+    """Consecutive numbers as one binary value for each range between ``places``."""
+    raw = np.ascontiguousarray(values.astype(width))
+    offsets = (places * raw.itemsize).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(raw)]
+    return pa.Array.from_buffers(pa.binary(), len(places) - 1, buffers)
+
+
+def _grams(span: _Span, at: np.ndarray, words: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """The phrases of so many words at the places ``at``: the number of each among the
+    distinct ones, and the language and text of those."""
+    many = max(len(span.counts), 1)
+    known, number = np.unique(span.word[at], return_inverse=True)
+    lang, text = span.lang.take(pa.array(known)), span.text.take(pa.array(known))
+    for k in range(1, words):
+        known, number = np.unique(number * many + span.word[at + k], return_inverse=True)
+        head, tail = pa.array(known // many), pa.array(known % many)
+        text = pc.binary_join_element_wise(text.take(head), span.text.take(tail), " ")
+        lang = lang.take(head)
+    return number, lang, text
+
+
+def _stripes_of(span: _Span, words: int, frequent: Bloom, hot: Bloom) -> pa.Table:
+    """The stripes of the prefixes of so many words that are frequent. Words after them
+    count only if they end a frequent phrase as long; else none follows."""
+    n, w = len(span.word), span.word
+    langs, texts = span.hashes()
+    whole = np.flatnonzero(span.follows(words - 1))
+    hashes = joined(langs[w[whole]], *[texts[w[whole + k]] for k in range(words)])
+    known = frequent.has(hashes)
+    at, hashes = whole[known], hashes[known]
+    alive = np.zeros(n + 1, bool)
+    alive[at] = True
+    goes_on = span.follows(words)[at] & alive[at + 1]
+    none = len(span.counts)
+    following = np.full(len(at), none, np.int64)
+    following[goes_on] = w[at[goes_on] + words]
+    part = np.append((joined(texts) % np.uint64(SEGMENTS)).astype(np.int64), 0)
+    segment = np.where(hot.has(hashes), part[following], 0)
+
+    number, lang, text = _grams(span, at, words)
+    line = np.sort((number * SEGMENTS + segment) * (none + 1) + following)
+    first = np.flatnonzero(np.append(True, line[1:] != line[:-1])[: len(line)])
     counts = np.diff(np.append(first, len(line)))
     line = line[first]
-    key = line // many
-    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
-    offsets = pa.array(np.append(begin, len(key)).astype(np.int32))
-    names = pa.concat_arrays([span.text, pa.array([_NONE])])
-    own = pa.array(key[begin] // SEGMENTS[words])
+    key = line // (none + 1)
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    places = np.append(begin, len(key))
+    names = pa.concat_arrays([span.text, pa.array([_NONE])]).take(pa.array(line % (none + 1)))
+    nexts = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), names)
+    own = pa.array(key[begin] // SEGMENTS)
     return pa.table(
         [
             lang.take(own),
             text.take(own),
-            pa.array(np.full(len(begin), words, np.int32)),
-            pa.array((key[begin] % SEGMENTS[words]).astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, names.take(pa.array(line % many))),
-            pa.ListArray.from_arrays(offsets, pa.array(counts)),
+            pa.array((key[begin] % SEGMENTS).astype(np.int32)),
+            pc.binary_join(nexts, " "),
+            _packed(counts, places, "<u4"),
         ],
         schema=_STRIPE,
     )
 
 
-def _segments(hashes: np.ndarray, words: int) -> np.ndarray:
-    part = joined(hashes) % np.uint64(SEGMENTS[words])
-    return np.append(part.astype(np.int64), 0)
-
-
-def _of_single_words(span: _Span, frequent: Bloom) -> Iterator[pa.Table]:
-    langs, texts = span.hashes()
-    alive = frequent.has(joined(langs, texts))[span.word]
-    beside = np.append(alive[1:], False)
-    following = span.after(1, span.follows(1) & beside)
-    yield _stripes(
-        span, span.word[alive], following[alive], span.lang, span.text, 1, _segments(texts, 1)
-    )
-
-
-def _of_pairs_and_triples(span: _Span, frequent: Bloom) -> Iterator[pa.Table]:
-    langs, texts = span.hashes()
-    n = len(span.word)
-    pair = np.zeros(n, bool)
-    near = np.flatnonzero(span.follows(1))
-    if len(near):
-        w = span.word
-        pair[near] = frequent.has(joined(langs[w[near]], texts[w[near]], texts[w[near + 1]]))
-    second, third = np.append(pair[1:], False), np.append(pair[2:], [False, False])[:n]
-
-    at = np.flatnonzero(pair)
-    codes = span.word[at] * len(texts) + span.word[at + 1] if len(at) else at
-    known, number = np.unique(codes, return_inverse=True)
-    head, tail = known // max(len(texts), 1), known % max(len(texts), 1)
-    lang = span.lang.take(pa.array(head))
-    names = span.text.take(pa.array(head)), span.text.take(pa.array(tail))
-    text = pc.binary_join_element_wise(*names, " ")
-    following = span.after(2, second) if n > 2 else np.full(n, len(texts))
-    yield _stripes(span, number, following[at], lang, text, 2, _segments(texts, 2))
-
-    both = second[at]
-    at3, first2 = at[both], number[both]
-    if not len(at3):
-        return
-    codes = first2 * len(texts) + span.word[at3 + 2]
-    known, number = np.unique(codes, return_inverse=True)
-    head, tail = pa.array(known // len(texts)), pa.array(known % len(texts))
-    lang, names = lang.take(head), (text.take(head), span.text.take(tail))
-    text = pc.binary_join_element_wise(*names, " ")
-    following = span.after(3, third) if n > 3 else np.full(n, len(texts))
-    yield _stripes(span, number, following[at3], lang, text, 3, _segments(texts, 3))
-
-
 def _over_spans(docs: DataFrame, text_col: str, lang_col: str, make, types: str) -> DataFrame:
     """Rows that ``make`` gives for the spans of a task."""
 
@@ -207,14 +188,16 @@ def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Rows in order of their keys, those of one key made one: counters added."""
+    """Stripes in order of their keys, those of one key made one: counters added.
+    ``nexts`` are lists and ``counts`` lists of longs, in and out."""
     table = table.combine_chunks()
-    key = np.zeros(len(table), np.int64)
+    changes = np.zeros(len(table), bool)
+    changes[0] = True
     for name in ("lang", "prefix", "segment"):
         column = table[name].combine_chunks()
-        key[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-    begin = np.flatnonzero(np.append(True, key[1:] > 0))
-    key = np.cumsum(key)
+        changes[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    begin = np.flatnonzero(changes)
+    key = np.cumsum(changes) - 1
     nexts = table["nexts"].combine_chunks()
     words = nexts.flatten().dictionary_encode()
     many = len(words.dictionary)
@@ -224,30 +207,41 @@ def _merge(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
     counts = np.add.reduceat(table["counts"].combine_chunks().flatten().to_numpy()[order], first)
     line = line[first]
-    offsets = pa.array(np.searchsorted(line // many, np.arange(len(begin) + 1)).astype(np.int32))
-    kept = table.take(pa.array(begin))
-    followers = pa.ListArray.from_arrays(offsets, words.dictionary.take(pa.array(line % many)))
-    arrays = [*kept.columns[:4], followers, pa.ListArray.from_arrays(offsets, pa.array(counts))]
-    return pa.table(arrays, schema=_STRIPE)
+    places = pa.array(np.searchsorted(line // many, np.arange(len(begin) + 1)).astype(np.int32))
+    kept = table.select(["lang", "prefix", "segment"]).take(pa.array(begin))
+    followers = pa.ListArray.from_arrays(places, words.dictionary.take(pa.array(line % many)))
+    added = pa.ListArray.from_arrays(places, pa.array(counts))
+    return kept.append_column("nexts", followers).append_column("counts", added)
+
 
+def _unpacked(batch: pa.RecordBatch) -> pa.Table:
+    table = pa.Table.from_batches([batch]).select(["lang", "prefix", "segment"])
+    nexts = pc.split_pattern(batch["nexts"].cast(pa.string()), " ")
+    raw, _ = bytes_and_offsets(batch["counts"])
+    counts = pa.array(np.frombuffer(raw.tobytes(), "<u4").astype(np.int64))
+    offsets = pa.array((nexts.offsets.to_numpy() - nexts.offsets[0].as_py()).astype(np.int32))
+    nexts = pa.ListArray.from_arrays(offsets, nexts.flatten())
+    table = table.append_column("nexts", nexts)
+    return table.append_column("counts", pa.ListArray.from_arrays(offsets, counts))
 
-def _frequent_part(table: pa.Table, least: int) -> pa.Table:
+
+def _frequent_part(table: pa.Table, least: int) -> pa.RecordBatch:
     """Each stripe's sum, and of its elements those that are frequent words."""
+    table = table.combine_chunks()
     nexts, counts = table["nexts"].combine_chunks(), table["counts"].combine_chunks()
-    offsets, n = nexts.offsets.to_numpy(), counts.flatten().to_numpy()
-    offsets = offsets - offsets[0]
-    total = np.add.reduceat(n, offsets[:-1])
+    places, n = nexts.offsets.to_numpy(), counts.flatten().to_numpy()
+    places = places - places[0]
     words = nexts.flatten()
     keep = (n >= least) & pc.not_equal(words, _NONE).to_numpy(zero_copy_only=False)
-    places = pa.array(np.concatenate(([0], np.cumsum(keep)))[offsets].astype(np.int32))
-    return pa.table(
-        {
-            **{name: table[name] for name in ("lang", "prefix", "words")},
-            "total": pa.array(total),
-            "nexts": pa.ListArray.from_arrays(places, words.filter(pa.array(keep))),
-            "counts": pa.ListArray.from_arrays(places, pa.array(n[keep])),
-        }
-    )
+    kept = pa.array(np.append(0, np.cumsum(keep))[places].astype(np.int32))
+    arrays = {
+        "lang": table["lang"].combine_chunks(),
+        "prefix": table["prefix"].combine_chunks(),
+        "total": pa.array(np.add.reduceat(n, places[:-1])),
+        "nexts": pa.ListArray.from_arrays(kept, words.filter(pa.array(keep))),
+        "counts": pa.ListArray.from_arrays(kept, pa.array(n[keep])),
+    }
+    return pa.record_batch(arrays)
 
 
 def merged_stripes(stripes: DataFrame, least: int = LEAST) -> DataFrame:
@@ -260,18 +254,18 @@ def merged_stripes(stripes: DataFrame, least: int = LEAST) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch]).cast(_STRIPE)
+            table = _unpacked(batch)
             table = _merge(table if held is None else pa.concat_tables([held, table]))
             held = table.slice(len(table) - 1)
             if len(table) > 1:
-                yield from _frequent_part(table.slice(0, len(table) - 1).combine_chunks(), least).to_batches()
+                yield _frequent_part(table.slice(0, len(table) - 1), least)
         if held is not None:
-            yield from _frequent_part(held.combine_chunks(), least).to_batches()
+            yield _frequent_part(held, least)
 
     key = ["lang", "prefix", "segment"]
     return stripes.repartition(*key).sortWithinPartitions(*key).mapInArrow(
         of_task,
-        "lang string, prefix string, words int, total bigint, nexts array<string>, counts array<bigint>",
+        "lang string, prefix string, total bigint, nexts array<string>, counts array<bigint>",
     )
 
 
@@ -290,12 +284,12 @@ def _hashed(df: DataFrame, columns: list[str]) -> DataFrame:
 def _extensions(stripes: DataFrame) -> DataFrame:
     """One row for each frequent phrase of two words or more: ``a`` occurrences."""
     pairs = F.explode(F.arrays_zip("nexts", "counts")).alias("e")
-    return stripes.select("lang", "prefix", "words", pairs).select(
-        "lang", "prefix", (F.col("words") + 1).alias("words"),
-        F.col("e.nexts").alias("next"),
+    found = stripes.select("lang", "prefix", pairs).select(
+        "lang", "prefix", F.col("e.nexts").alias("next"),
         F.concat_ws(" ", "prefix", "e.nexts").alias("phrase"),
         F.col("e.counts").alias("a"),
     )
+    return found.withColumn("words", F.size(F.split("phrase", " ")))
 
 
 def phrase_stripes(
@@ -304,24 +298,25 @@ def phrase_stripes(
 ) -> DataFrame:
     """Merged stripes of all prefixes of one to three frequent words. ``counts`` are
     :func:`word_counts` of the same documents."""
-    frequent = bloom_of(_hashed(counts.filter(F.col("n") >= least), ["lang", "word"]), "h")
-    shared = docs.sparkSession.sparkContext.broadcast(frequent.words)
-
-    def singles(spans: Iterator[_Span]) -> Iterator[pa.Table]:
-        for span in spans:
-            yield from _of_single_words(span, Bloom(shared.value))
-
-    made = _over_spans(docs, text_col, lang_col, singles, _STRIPE_TYPES)
-    short = written(merged_stripes(made, least), "stripes-short")
-    pairs = _hashed(_extensions(short), ["lang", "prefix", "next"])
-    shared_pairs = docs.sparkSession.sparkContext.broadcast(bloom_of(pairs, "h").words)
-
-    def longer(spans: Iterator[_Span]) -> Iterator[pa.Table]:
-        for span in spans:
-            yield from _of_pairs_and_triples(span, Bloom(shared_pairs.value))
-
-    made = _over_spans(docs, text_col, lang_col, longer, _STRIPE_TYPES)
-    return short.unionByName(written(merged_stripes(made, least), "stripes-long"))
+    share = docs.sparkSession.sparkContext.broadcast
+    known, columns = counts.select("lang", "word", F.col("n").alias("a")), ["lang", "word"]
+    whole = None
+    for words in range(1, MOST_WORDS):
+        grams = known.filter(F.col("a") >= least)
+        frequent = share(bloom_of(_hashed(grams, columns), "h").words)
+        hot = share(bloom_of(_hashed(grams.filter(F.col("a") >= HOT), columns), "h").words)
+
+        def of_spans(spans: Iterator[_Span], words=words, frequent=frequent, hot=hot):
+            for span in spans:
+                yield _stripes_of(span, words, Bloom(frequent.value), Bloom(hot.value))
+
+        made = _over_spans(docs, text_col, lang_col, of_spans, _STRIPE_TYPES)
+        stripes = written(merged_stripes(made, least), f"stripes-{words}")
+        whole = stripes if whole is None else whole.unionByName(stripes)
+        known = _extensions(stripes).withColumn("w", F.split("phrase", " "))
+        columns = ["lang", *[f"w{k}" for k in range(words + 1)]]
+        known = known.select("lang", "a", *[F.col("w")[k].alias(f"w{k}") for k in range(words + 1)])
+    return whole
 
 
 def _words_from(phrase: Column, first: Column | int, many: Column) -> Column:

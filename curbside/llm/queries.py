@@ -16,6 +16,7 @@ from curbside.llm.pii import op4_pii
 from curbside.llm.quality import op10_quality
 from curbside.llm.secret_scan import op9_secrets
 from curbside.llm.simhash import op3_simhash
+from curbside.llm.spelling import op12_spelling
 from curbside.llm.topk_search import op2_topk
 from curbside.llm.toxicity import op5_toxicity
 
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
     "op11_collocations": op11_collocations,
+    "op12_spelling": op12_spelling,
 }
 
 _USABLE = """

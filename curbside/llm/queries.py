@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from curbside.llm.byte_bpe import op6_byte_bpe
 from curbside.llm.collocations import op11_collocations
+from curbside.llm.context_mixing import op13_context_mixing
 from curbside.llm.embeddings import op1_embedding_dedup
 from curbside.llm.language import op7_language
 from curbside.llm.packing import op8_packing
@@ -33,6 +34,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_collocations": op11_collocations,
     "op12_spelling": op12_spelling,
+    "op13_context_mixing": op13_context_mixing,
 }
 
 _USABLE = """

@@ -22,13 +22,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curbside.llm.bloom import Bloom, bloom_of, joined
 from curbside.llm.common import bytes_and_offsets, read_table, written
-from curbside.llm.wordstream import BLANKS, summed, text_spans, word_bytes, words_of
+from curbside.llm.wordstream import BLANKS, hashes_of, summed, text_spans, word_bytes, words_of
 
 LEAST = 30
 MOST_WORDS = 4
@@ -58,11 +57,6 @@ _STRIPE = pa.schema(
 _STRIPE_TYPES = "lang string, prefix string, segment int, nexts string, counts binary"
 
 
-def _hash(values: pa.Array) -> np.ndarray:
-    hashed = [xxhash.xxh64_intdigest(v.as_py().encode()) for v in values]
-    return np.array(hashed, np.uint64)
-
-
 class _Span:
     """Words of some texts as numbers of the distinct (language, word) among them."""
 
@@ -84,7 +78,7 @@ class _Span:
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each distinct one's language and word."""
         langs, lang, distinct, own = self._hashes
-        return _hash(langs)[lang], _hash(distinct)[own]
+        return hashes_of(langs)[lang], hashes_of(distinct)[own]
 
     def follows(self, by: int) -> np.ndarray:
         """Whether the word so many places on belongs to the same piece."""
@@ -275,7 +269,7 @@ def _hashed(df: DataFrame, columns: list[str]) -> DataFrame:
         hashes = []
         for part in parts:
             encoded = part.dictionary_encode()
-            hashes.append(_hash(encoded.dictionary)[encoded.indices.to_numpy()])
+            hashes.append(hashes_of(encoded.dictionary)[encoded.indices.to_numpy()])
         return pa.array(joined(*hashes).view(np.int64))
 
     return df.select(of_batch(*columns).alias("h"))

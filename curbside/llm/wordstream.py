@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from curbside.llm.common import bytes_and_offsets, spans_of_rows
 from curbside.llm.ngrams import lower_ascii
@@ -52,6 +53,12 @@ def strings_of(raw: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(lengths), buffers)
 
 
+def hashes_of(values: pa.Array) -> np.ndarray:
+    """XXH64 of each string."""
+    raw = values.cast(pa.binary()).to_pylist()
+    return np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
+
+
 @dataclass
 class Words:
     """The words of some texts in order: the text of each, its place among the

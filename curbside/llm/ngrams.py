@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,8 +166,24 @@ def shares(raw: np.ndarray, offsets: np.ndarray, families: Sequence[Grams]) -> l
     return out
 
 
-# Of a text of the sample, the bytes that a model is fitted on at most.
-SAMPLE_BYTES = 1 << 17
+# Bytes of a text of the sample that reach the driver at most. Of a longer text so many
+# pieces are drawn, evenly over all of it, each of whole characters.
+SAMPLE_BYTES, SAMPLE_PIECES = 1 << 18, 256
+
+
+def drawn(text: bytes, size: int = SAMPLE_BYTES, pieces: int = SAMPLE_PIECES) -> bytes:
+    """A text as it is or, if longer than ``size``, pieces of it with blanks between."""
+    if len(text) <= size:
+        return text
+    each = max(size // pieces - 1, 1)
+
+    def whole(at: int) -> int:
+        while 0 < at < len(text) and text[at] & 0xC0 == 0x80:
+            at -= 1
+        return at
+
+    starts = [whole(k * (len(text) - each) // (pieces - 1)) for k in range(pieces)]
+    return b" ".join(text[a : whole(min(a + each, len(text)))] for a in starts)
 
 
 def labelled_sample(
@@ -178,7 +195,7 @@ def labelled_sample(
     Ids are chosen before a text is read. Of a label with many ids only the part
     whose hashes are low is ranked, some twice ``per_label``, however many tasks
     there are; the chosen ids are few enough to broadcast: a fixed number for each
-    label. An id that repeats gives one text.
+    label. An id that repeats gives one text. Long texts come in pieces (:func:`drawn`).
     """
     draw = F.shiftrightunsigned(F.xxhash64("key"), 11) / float(1 << 53)
     known = labelled.filter("key IS NOT NULL AND label IS NOT NULL").select("key", "label")
@@ -194,8 +211,14 @@ def labelled_sample(
     )
     texts = docs.select(F.col(id_col).alias("own_key"), text_bytes(F.col(text_col)).alias("raw"))
     found = texts.join(F.broadcast(chosen), F.col("own_key") == F.col("key"))
-    cut = F.substring("raw", 1, SAMPLE_BYTES).alias("raw")
-    rows = found.select("key", "label", cut).dropDuplicates(["key", "label"]).collect()
+
+    @F.arrow_udf("binary")
+    def of_batch(column: pa.Array) -> pa.Array:
+        return pa.array([drawn(raw) for raw in column.to_pylist()], pa.binary())
+
+    # Of unlike texts with one id the smallest counts, so runs don't differ.
+    texts = found.select("key", "label", of_batch("raw").alias("raw"))
+    rows = texts.groupBy("key", "label").agg(F.min("raw").alias("raw")).collect()
     return [(r.label, bytes(r.raw)) for r in sorted(rows, key=lambda r: (r.label, r.key))]
 
 

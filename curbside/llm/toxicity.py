@@ -23,15 +23,18 @@ FOLDS = 5
 WINDOW = 64
 STRIDE = 48
 
-# Training: rows of each label, and the words of each that are used. The network is
-# fitted on no more; scoring always reads whole texts.
+# Training: rows of each label. The network is fitted on no more; scoring always reads
+# all texts.
 ROWS_PER_LABEL = 600
-TRAINING_WORDS = 1_024
 EPOCHS = 10
 # Steps that a small sample is gone through again for, up to so many epochs.
 LEAST_STEPS, MOST_EPOCHS = 160, 40
-# Of the sample, every so many-th document is kept for calibration.
+# Of the sample, every so many-th document is kept for calibration, and to see whether
+# the training has come to anything: the share of pairs of a toxic and a clean one that
+# it puts in order. Below GOOD another start is tried, so many in all; if none reaches
+# LEAST there is no model, provided each label has so many documents kept back.
 KEPT_BACK = 4
+GOOD, LEAST, STARTS, ENOUGH = 0.9, 0.6, 3, 20
 
 WORD_BITS, CHAR_BITS = 15, 15
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 10
@@ -40,6 +43,7 @@ CHAR_ORDER = 4
 # Bytes of text that are looked at together, and windows that are scored together.
 _SLICE = 1 << 20
 _WINDOWS = 2048
+_BATCH = 512
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 39]] = True
@@ -254,18 +258,50 @@ def train(
     toxic_share: float | None = None,
     seed: int = 5,
 ) -> Network:
+    """The first network of a few starts that tells the documents kept back apart, or
+    the best of them; an error if none does at all."""
+    best, reached = None, -1.0
+    for start in range(STARTS):
+        net, order, enough = _trained(texts, labels, toxic_share, seed + start)
+        if order > reached:
+            best, reached = net, order
+        if reached >= GOOD or not enough:
+            break
+    if best is None or (enough and reached < LEAST):
+        raise RuntimeError(
+            f"toxicity: of {STARTS} trainings the best orders {max(reached, 0):.2f} of the "
+            "pairs kept back; nothing can be rejected by it"
+        )
+    return best
+
+
+def _ordered(score: np.ndarray, label: np.ndarray) -> float:
+    """The share of pairs with unlike labels whose scores are in order; ties half."""
+    if not np.isfinite(score).all():
+        return -1.0
+    low, high = np.sort(score[label == 0]), score[label == 1]
+    if not len(low) or not len(high):
+        return 0.5
+    below = np.searchsorted(low, high, "left") + np.searchsorted(low, high, "right")
+    return float(below.mean() / (2 * len(low)))
+
+
+def _trained(
+    texts: list[bytes], labels: list[int], toxic_share: float | None, seed: int
+) -> tuple[Network, float, bool]:
     """A network fitted by the documents' labels alone, and calibrated to the share
-    of toxic documents where that is known.
+    of toxic documents where that is known; how well it orders the documents kept back
+    (-1 where any number is not finite), and whether they are enough to tell.
 
     In the first epochs every window has its document's label. After them a toxic
     document teaches by its worst window only, a clean one by its worst and one
     other, so that clean windows of toxic documents no longer count.
     """
-    net = Network.fresh()
+    net = Network.fresh(seed - 2)
     if len(set(labels)) < 2:
         net.p["bias"][0] = 4.0 if labels and labels[0] else -4.0
         net.p["out"][:] = 0
-        return net
+        return net, 0.5, False
     words, doc, first, last = [], [], [], []
     at = 0
     for i, text in enumerate(texts):
@@ -273,15 +309,6 @@ def train(
         n = len(found.bucket)
         if not n:
             continue
-        if n > TRAINING_WORDS:
-            found = Words(
-                found.bucket[:TRAINING_WORDS],
-                found.whole[:TRAINING_WORDS],
-                found.grams[: found.begins[TRAINING_WORDS]],
-                found.begins[:TRAINING_WORDS],
-                found.starts[:TRAINING_WORDS],
-            )
-            n = TRAINING_WORDS
         starts = window_starts(n)
         words.append(found)
         doc += [i] * len(starts)
@@ -336,11 +363,12 @@ def train(
                 adam.move(name, net.p[name], summed, rows)
 
     def logits() -> np.ndarray:
-        x = net.inputs(every)
         out = np.empty(len(first), np.float32)
-        for at in range(0, len(first), _WINDOWS):
-            index, held = _windowed(every.bucket, first[at : at + _WINDOWS], last[at : at + _WINDOWS])
-            out[at : at + _WINDOWS] = net.run(x[index], held)
+        for at in range(0, len(first), _BATCH):
+            mine = slice(at, at + _BATCH)
+            index, held = _windowed(every.bucket, first[mine], last[mine])
+            some, place = batch_words(index)
+            out[mine] = net.run(net.inputs(some)[place].reshape(*index.shape, -1), held)
         return out
 
     toxic = min(max(target.mean(), 1e-3), 0.999)
@@ -365,15 +393,18 @@ def train(
         if epoch == epochs - 5:
             adam.rate /= 3
     # Of documents it hasn't learned from, if they have both labels.
-    worst = np.full(len(texts), -1e9)
+    worst = np.full(len(texts), -np.inf)
     np.maximum.at(worst, doc, logits())
-    seen = worst > -1e8
-    if len(set(np.array(labels)[seen & kept_back])) == 2:
+    seen = np.bincount(doc, minlength=len(texts)) > 0
+    label = np.array(labels)
+    if len(set(label[seen & kept_back])) == 2:
         seen &= kept_back
-    net.p["calibration"] = _calibration(
-        worst[seen], np.array(labels, float)[seen], toxic_share
-    )
-    return net
+    finite = np.isfinite(worst[seen]).all() and all(np.isfinite(v).all() for v in net.p.values())
+    if not finite:
+        return net, -1.0, True
+    net.p["calibration"] = _calibration(worst[seen], label[seen].astype(float), toxic_share)
+    enough = min(np.bincount(label[seen & kept_back], minlength=2)) >= ENOUGH
+    return net, _ordered(worst[seen], label[seen]), bool(enough)
 
 
 def _calibration(score: np.ndarray, label: np.ndarray, toxic_share: float | None) -> np.ndarray:
@@ -482,8 +513,11 @@ def toxicity_of(text: Column, net: Network) -> Column:
         raw, offsets = bytes_and_offsets(column)
         worst = worst_windows(net, raw, offsets)
         slope, shift = net.p["calibration"]
-        score = _sigmoid(np.where(np.isfinite(worst), worst, 0) * slope + shift).astype(float)
-        return pa.array(np.where(np.isfinite(worst), score, 0.0))
+        wordless = worst == -np.inf
+        score = _sigmoid(np.where(wordless, 0, worst) * slope + shift).astype(float)
+        if not np.isfinite(score).all():
+            raise ValueError("toxicity: a score is not a number")
+        return pa.array(np.where(wordless, 0.0, score))
 
     return of_batch.asNondeterministic()(text)
 

@@ -1,7 +1,9 @@
 """DataFrame operators the questions are composed of."""
 
 from curbside.operators.dedup import compared_columns, keep_first
+from curbside.operators.intervals import interval_join
 from curbside.operators.lookup import join_small
+from curbside.operators.marginals import marginals, summed_over
 from curbside.operators.preview import preview
 from curbside.operators.profile import column_profile, key_profile
 from curbside.operators.share import count_and_share
@@ -12,10 +14,13 @@ __all__ = [
     "compared_columns",
     "count_and_share",
     "frequency",
+    "interval_join",
     "join_small",
     "keep_first",
     "key_profile",
+    "marginals",
     "nested_top_k",
     "preview",
+    "summed_over",
     "top_k",
 ]

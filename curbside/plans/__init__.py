@@ -6,9 +6,12 @@ from curbside.plans import (  # noqa: F401
     examine,
     fines,
     frequencies,
+    intake,
+    periods,
     precincts,
     seasons,
     source_tables,
+    totals,
     years,
 )
 from curbside.plans.registry import REGISTRY

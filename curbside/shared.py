@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterable, Sequence
@@ -102,6 +103,16 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder if "://" in folder and not folder.startswith("file:") else None
 
 
+def work_folder(spark: SparkSession) -> str:
+    """:func:`shared_folder`; on a single machine without one, a temporary folder."""
+    folder = shared_folder(spark)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="curbside-")
+
+
 def ticket_reader(
     spark: SparkSession, folder: str
 ) -> tuple[DataFrame, Callable[[Sequence[str]], DataFrame]]:

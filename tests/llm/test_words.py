@@ -18,7 +18,7 @@ from curbside.llm.bloom import bloom_of
 from curbside.llm.collocations import collocations
 from curbside.llm.context_mixing import scored_by_the_rest
 from curbside.llm.spelling import spelling_variants
-from curbside.llm.toxicity import Network, toxicity_of, train
+from curbside.llm.toxicity import Network, toxicity_of, train, worst_windows
 from tests.conftest import rows_of
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -236,7 +236,10 @@ def test_a_toxic_passage_counts_wherever_it_stands():
     labels = [i % 2 for i in range(120)]
     texts = [text(y, 6000 if i < 6 else 60) for i, y in enumerate(labels)]
     net = train(texts, labels)
-    assert isinstance(net, Network)
+    pair = [text(False, 6000), text(True, 6000)]
+    offsets = np.array([0, len(pair[0]), len(pair[0]) + len(pair[1])])
+    clean_score, toxic_score = worst_windows(net, np.frombuffer(b"".join(pair), np.uint8), offsets)
+    assert toxic_score > clean_score
 
 
 def test_training_that_comes_to_nothing_fails(monkeypatch):

@@ -2,25 +2,42 @@
 
 from curbside.operators.dedup import compared_columns, keep_first
 from curbside.operators.intervals import interval_join
-from curbside.operators.lookup import join_small
+from curbside.operators.lookup import join_by_size, join_small
 from curbside.operators.marginals import marginals, summed_over
 from curbside.operators.preview import preview
 from curbside.operators.profile import column_profile, key_profile
+from curbside.operators.quantiles import exact_quantiles
 from curbside.operators.share import count_and_share
+from curbside.operators.sketches import (
+    count_error,
+    distinct_estimates,
+    listed_values,
+    merge_states,
+    sketch_states,
+    sketched_top_k,
+)
 from curbside.operators.topk import frequency, nested_top_k, top_k
 
 __all__ = [
     "column_profile",
     "compared_columns",
     "count_and_share",
+    "count_error",
+    "distinct_estimates",
+    "exact_quantiles",
     "frequency",
     "interval_join",
+    "join_by_size",
     "join_small",
     "keep_first",
     "key_profile",
+    "listed_values",
     "marginals",
+    "merge_states",
     "nested_top_k",
     "preview",
+    "sketch_states",
+    "sketched_top_k",
     "summed_over",
     "top_k",
 ]

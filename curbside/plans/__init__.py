@@ -3,6 +3,7 @@
 from curbside.plans import (  # noqa: F401
     cleaning,
     clock_times,
+    distributions,
     examine,
     fines,
     frequencies,

@@ -1,15 +1,16 @@
 """Secrets: fixed patterns, and tokens that pass a battery of randomness tests.
 
 A long token without prose characters is tried against the alphabet of its inferred
-encoding. First by words: how much likelier its letters, cases and separators are as
-words and numbers than as random characters of the encoding. A random token reaches 7
-bits once in 128 at most, whatever its length; what does is structured. Then by
-uniformity (chi-squared), runs above and below the middle of the alphabet, and serial
-correlation, as a rank among random tokens of the same encoding and length: even for
-random tokens, small for structured ones. For each class of lengths these ranks of
-the whole corpus tell which part above a cutoff is still structured, and the lowest
-cutoff that holds this false-discovery rate is used. Without evidence of structure a
-class reports all, and none is cut above the middle, where the rate holds anyway.
+encoding: by uniformity (chi-squared), runs above and below the middle of the alphabet
+and serial correlation; by how much likelier its letters, cases and separators are as
+words and numbers than as random characters; and by how much likelier what it decodes
+to is as text than as random bytes. Each is a rank among random tokens of the same
+encoding and length, and so is the smallest of them: even for random tokens, near zero
+for structured ones. For each class of lengths these ranks of the whole corpus tell
+which part above a cutoff is still structured, and the lowest cutoff that holds this
+false-discovery rate is used. No cutoff exceeds a tenth of the ranks, so no class loses
+more than that part of its random tokens: where structured ones are spread over all
+ranks, no cutoff tells them apart, and they are reported too.
 """
 
 from __future__ import annotations
@@ -37,12 +38,13 @@ FALSE_DISCOVERIES = 0.05
 # Lower ends of the length classes, and how finely p-values are counted.
 LENGTH_CLASSES = (20, 24, 32, 40, 64, 128)
 P_BINS = 20
-# Bits by which a token is words, and the rank among NULL_DRAWS random tokens below
-# which it is structured without regard to the corpus.
-WORD_BITS = 7.0
+# Cutoffs end at this bin.
+LAST_CUT = 2
+# The rank among NULL_DRAWS random tokens below which a token is structured without
+# regard to the corpus.
 LEAST_P = 0.005
 NULL_DRAWS = 400
-# Lengths above share the null of this one.
+# Lengths above share the null of this one; their bits are scaled to it.
 NULL_LENGTH = 256
 # How unlikely the ranks of a class must be for random tokens alone to be cut.
 EVIDENCE = 0.01
@@ -190,23 +192,63 @@ def p_random(token: str, encoding: str) -> float:
     return 1 - (1 - min(1.0, *tails)) ** len(tails)
 
 
+# Bits for a byte as text over a random one: 0.9 of text is printable ASCII or blanks.
+_IS_TEXT = np.isin(np.arange(256), [9, 10, 13, *range(32, 127)])
+_TEXT_BITS = np.where(
+    _IS_TEXT, np.log2(0.9 * 256 / _IS_TEXT.sum()), np.log2(0.1 * 256 / (~_IS_TEXT).sum())
+)
+_BASE64 = _UPPER + _LOWER + _DIGITS
+_SIXES = {c: i for i, c in enumerate(_BASE64)} | {"+": 62, "-": 62, "/": 63, "_": 63}
+# Bits a character stands for and its value, where that is not base64.
+_DECODED = {
+    "hex": (4, _PLACES["hex"]), "HEX": (4, _PLACES["HEX"]), "base32": (5, _PLACES["base32"])
+}
+
+
+def text_bits(token: str, encoding: str) -> float:
+    """By how many bits the decoded token is likelier as text than as random bytes, at
+    the best of the offsets at which a byte can begin."""
+    size, values = _DECODED.get(encoding, (6, _SIXES))
+    at = np.array([values[c] for c in token])
+    bits = ((at[:, None] >> np.arange(size - 1, -1, -1)) & 1).astype(np.uint8).ravel()
+    best = -math.inf
+    for first in sorted({-size * i % 8 for i in range(8)}):
+        whole = (len(bits) - first) // 8
+        found = np.packbits(bits[first : first + 8 * whole])
+        best = max(best, float(_TEXT_BITS[found].sum()))
+    return best
+
+
+def _statistics(token: str, encoding: str) -> tuple[float, float, float]:
+    """Three numbers, each the smaller the more structured the token is."""
+    scale = min(1.0, NULL_LENGTH / len(token))
+    words, text = word_bits(token, encoding), text_bits(token, encoding)
+    return p_random(token, encoding), -words * scale, -text * scale
+
+
+def _rank(value: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Ranks between 0 and 1 among the sorted null, equal values in their middle."""
+    below = np.searchsorted(null, value, "left") + np.searchsorted(null, value, "right")
+    return (below / 2 + 0.5) / (len(null) + 1)
+
+
 @lru_cache(maxsize=None)
-def _null(encoding: str, length: int) -> np.ndarray:
-    """P-values of random tokens, in order."""
+def _null(encoding: str, length: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The statistics of random tokens and the smallest of their ranks, in order."""
     chars = np.array(list(ENCODINGS[encoding]))
     drawn = np.random.default_rng(length).integers(0, len(chars), (NULL_DRAWS, length))
-    return np.sort([p_random("".join(row), encoding) for row in chars[drawn]])
+    each = np.array([_statistics("".join(row), encoding) for row in chars[drawn]]).T
+    nulls = [np.sort(values) for values in each]
+    least = np.min([_rank(values, null) for values, null in zip(each, nulls)], axis=0)
+    return nulls, np.sort(least)
 
 
 def rank_random(token: str, encoding: str) -> float:
-    """The p-value's rank among random tokens of the encoding and length; 0 where the
-    token is words or no random one looks as structured."""
-    if word_bits(token, encoding) >= WORD_BITS:
-        return 0.0
-    null = _null(encoding, min(len(token), NULL_LENGTH))
-    p = p_random(token, encoding)
-    rank = (np.searchsorted(null, p, "left") + np.searchsorted(null, p, "right")) / 2
-    at = float((rank + 0.5) / (NULL_DRAWS + 1))
+    """The rank of the token's most structured statistic among random tokens of the
+    encoding and length; 0 where no random one looks as structured."""
+    nulls, least = _null(encoding, min(len(token), NULL_LENGTH))
+    found = _statistics(token, encoding)
+    at = float(_rank(min(_rank(v, null) for v, null in zip(found, nulls)), least))
     return at if at >= LEAST_P else 0.0
 
 
@@ -293,7 +335,7 @@ def cutoffs(counts: dict[tuple[int, int], int], rate: float = FALSE_DISCOVERIES)
     The upper half of the p-values is taken to be of random tokens, so their
     number is twice that half's, and the part of it in any bin is the same. Where the
     lower half is no larger than chance makes it, or nothing is structured, all are
-    reported; from the middle on the rate always holds.
+    reported. Where no cutoff up to ``LAST_CUT`` holds the rate, that one is used.
     """
     lowest = {}
     for of in {c for c, _ in counts}:
@@ -305,10 +347,10 @@ def cutoffs(counts: dict[tuple[int, int], int], rate: float = FALSE_DISCOVERIES)
             lowest[of] = 0
             continue
         random = min(sum(n), 2 * upper)
-        for b in range(P_BINS // 2 + 1):
+        lowest[of] = LAST_CUT
+        for b in range(LAST_CUT):
             above = sum(n[b:])
-            structured = max(0.0, above - random * (1 - b / P_BINS))
-            if above and structured <= rate * above:
+            if above - random * (1 - b / P_BINS) <= rate * above:
                 lowest[of] = b
                 break
     return lowest

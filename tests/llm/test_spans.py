@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
@@ -142,8 +143,9 @@ def test_cutoffs_control_false_discoveries():
     # Twenty bins: structured tokens all in the lowest, random ones even.
     counts = {(40, b): 50 for b in range(20)} | {(40, 0): 1050}
     assert cutoffs(counts, 0.05) == {40: 1}
-    # A class of structured tokens alone reports nothing.
-    assert cutoffs({(20, b): 400 for b in range(9)}, 0.05) == {}
+    # No class is void, and none loses more than a tenth of its random tokens.
+    assert cutoffs({(20, b): 400 for b in range(9)}, 0.05) == {20: 2}
+    assert cutoffs({(24, b): 3 for b in range(9)}, 0.05) == {24: 2}
     assert cutoffs({}, 0.05) == {}
 
 
@@ -219,11 +221,46 @@ def test_recall_of_planted_keys_among_slugs(length):
     assert sum(found[len(keys) :]) <= 0.05 * sum(found)
 
 
+PROSE = (
+    "the quick report of the harbour office says that nine of its old ferries, and two new "
+    "ones, will sail every day from May; tickets cost 12 euro. Für Kinder ist die Fahrt frei. "
+)
+
+
+def prose_in_base64(draw, length):
+    """Base64 of prose, begun anywhere in a group of four characters."""
+    at = draw.randrange(len(PROSE))
+    text = (PROSE[at:] + PROSE * 2)[: length + 8].encode()
+    start = draw.randrange(4)
+    return base64.b64encode(text).decode().rstrip("=")[start : start + length]
+
+
+def number_code(draw, length):
+    """Counters between dashes: few digits change from one to the next."""
+    code = "-".join(f"{draw.randrange(90, 99)}{draw.randrange(100):02d}" for _ in range(length))
+    return code[:length]
+
+
+@pytest.mark.parametrize("structured", [prose_in_base64, number_code])
+@pytest.mark.parametrize("length", [24, 40, 64])
+def test_recall_of_keys_among_ten_times_as_many_structured_tokens(structured, length):
+    draw = random.Random(length)
+    keys = [planted(draw, ENCODINGS["base62"], length) for _ in range(200)]
+    texts = [f"x {key} y" for key in keys]
+    texts += [f"x {structured(draw, length)} y" for _ in range(10 * len(keys))]
+    counts = Counter()
+    for text in texts:
+        counts.update((c, _bin(p)) for _, _, c, p in candidates(text, base_spans(text)))
+    lowest = cutoffs(counts)
+    found = [bool(secret_spans(text, lowest)) for text in texts]
+    assert sum(found[: len(keys)]) >= 0.9 * len(keys)
+    assert sum(found[len(keys) :]) <= 0.05 * sum(found)
+
+
 def test_a_class_of_few_tokens_is_not_void():
     # Without a token in the upper half, but no more than chance makes it.
     assert cutoffs({(20, 3): 1, (20, 8): 2}) == {20: 0}
-    # Above the middle the rate holds by definition.
-    assert cutoffs({(20, b): 400 for b in range(10)} | {(20, 15): 9}) == {20: 10}
+    assert cutoffs({(20, b): 400 for b in range(10)} | {(20, 15): 9}) == {20: 2}
 
 
 def test_ranks_of_random_tokens_are_even():

@@ -1,5 +1,6 @@
 """DataFrame operators the questions are composed of."""
 
+from curbside.operators.daily import fill_days, with_trend, years_before
 from curbside.operators.dedup import compared_columns, keep_first
 from curbside.operators.intervals import interval_join
 from curbside.operators.lookup import join_by_size, join_small
@@ -25,6 +26,7 @@ __all__ = [
     "count_error",
     "distinct_estimates",
     "exact_quantiles",
+    "fill_days",
     "frequency",
     "interval_join",
     "join_by_size",
@@ -40,4 +42,6 @@ __all__ = [
     "sketched_top_k",
     "summed_over",
     "top_k",
+    "with_trend",
+    "years_before",
 ]

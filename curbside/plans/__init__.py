@@ -11,6 +11,7 @@ from curbside.plans import (  # noqa: F401
     periods,
     precincts,
     seasons,
+    season_index,
     source_tables,
     totals,
     years,

@@ -12,6 +12,7 @@ from curbside.plans.registry import query
 from curbside.schema import FISCAL_YEAR, TICKET_COLUMNS
 from curbside.shared import work_folder
 from curbside.stages import TicketStages
+from curbside.streaming import StreamIntake
 
 FILES = 4
 
@@ -30,3 +31,18 @@ def incremental_dedup(stages: TicketStages) -> DataFrame:
         table.add(raw.filter(part == number))
     found = table.tickets()
     return raw.limit(0) if found is None else found.select(FISCAL_YEAR, *stages.columns)
+
+
+@query(f"SELECT {', '.join(TICKET_COLUMNS)} FROM deduplicated", on="deduplicated")
+def streamed_dedup(stages: TicketStages) -> DataFrame:
+    """One ticket per key and file, of all tickets written to a folder as files and taken
+    in by a stream, some files a batch."""
+    raw = stages.raw()
+    spark = raw.sparkSession
+    folder = f"{work_folder(spark)}/curbside/stream-{uuid.uuid4().hex}"
+    raw.repartition(FILES, F.xxhash64(*raw.columns)).write.parquet(f"{folder}/files")
+    arriving = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", FILES // 2)
+    intake = StreamIntake(spark, folder, buckets=2)
+    intake.run(arriving.parquet(f"{folder}/files")).awaitTermination()
+    found = intake.tickets()
+    return raw.limit(0) if found is None else found.select(FISCAL_YEAR, *stages.columns)

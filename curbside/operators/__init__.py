@@ -3,6 +3,7 @@
 from curbside.operators.daily import fill_days, with_trend, years_before
 from curbside.operators.dedup import compared_columns, keep_first
 from curbside.operators.intervals import interval_join
+from curbside.operators.itemsets import frequent_sets
 from curbside.operators.lookup import join_by_size, join_small
 from curbside.operators.marginals import marginals, summed_over
 from curbside.operators.preview import preview
@@ -17,9 +18,17 @@ from curbside.operators.sketches import (
     sketch_states,
     sketched_top_k,
 )
+from curbside.operators.spellings import spelling_roots
+from curbside.operators.step_up import (
+    ERFC_FIT,
+    likelihood_ratio,
+    log_p_of_ratio,
+    step_up,
+)
 from curbside.operators.topk import frequency, nested_top_k, top_k
 
 __all__ = [
+    "ERFC_FIT",
     "column_profile",
     "compared_columns",
     "count_and_share",
@@ -28,18 +37,23 @@ __all__ = [
     "exact_quantiles",
     "fill_days",
     "frequency",
+    "frequent_sets",
     "interval_join",
     "join_by_size",
     "join_small",
     "keep_first",
     "key_profile",
+    "likelihood_ratio",
     "listed_values",
+    "log_p_of_ratio",
     "marginals",
     "merge_states",
     "nested_top_k",
     "preview",
     "sketch_states",
     "sketched_top_k",
+    "spelling_roots",
+    "step_up",
     "summed_over",
     "top_k",
     "with_trend",

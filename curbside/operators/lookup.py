@@ -23,11 +23,13 @@ def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFram
     ).drop(*renamed.values())
 
 
-def join_by_size(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join with a side that Spark broadcasts only if it proves to be small. Keys
-    are compared null-safely."""
+def join_by_size(
+    df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join with a side that Spark broadcasts only if it proves to be small. Keys are
+    compared null-safely."""
     renamed = {key: f"small_{key}" for key in keys}
     same = [F.col(key).eqNullSafe(F.col(new)) for key, new in renamed.items()]
-    return df.join(other.withColumnsRenamed(renamed), reduce(lambda a, b: a & b, same)).drop(
-        *renamed.values()
-    )
+    return df.join(
+        other.withColumnsRenamed(renamed), reduce(lambda a, b: a & b, same), how
+    ).drop(*renamed.values())

@@ -3,6 +3,7 @@
 from curbside.plans import (  # noqa: F401
     cleaning,
     clock_times,
+    code_sets,
     distributions,
     examine,
     fines,
@@ -12,7 +13,9 @@ from curbside.plans import (  # noqa: F401
     precincts,
     seasons,
     season_index,
+    significance,
     source_tables,
+    spellings,
     totals,
     years,
 )

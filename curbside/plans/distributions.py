@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbside.operators import exact_quantiles, merge_states, sketch_states, sketched_top_k
 from curbside.plans.registry import query
 from curbside.schema import FISCAL_YEAR
-from curbside.shared import work_folder
+from curbside.shared import own_folder
 from curbside.stages import TicketStages
 
 SKETCHED = ["violation_code", "vehicle_make", "vehicle_body_type", "house_number"]
@@ -19,10 +17,6 @@ TRACKED = 96
 PERCENTS = [10, 25, 50, 75, 90]
 
 
-def _own_folder(df: DataFrame, name: str) -> str:
-    return f"{work_folder(df.sparkSession)}/curbside/{name}-{uuid.uuid4().hex}"
-
-
 _VALUES_SQL = " UNION ALL ".join(
     f"SELECT file_fy, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM clean"
     for c in SKETCHED
@@ -53,7 +47,7 @@ def top5_from_sketches(stages: TicketStages) -> DataFrame:
         tickets.withColumn("month", F.trunc("issue_dt", "month")),
         [FISCAL_YEAR, "month"], SKETCHED, TRACKED,
     )
-    folder = _own_folder(tickets, "sketches")
+    folder = own_folder(tickets.sparkSession, "sketches")
     monthly.write.parquet(folder)
     stored = tickets.sparkSession.read.schema(monthly.schema).parquet(folder)
     yearly = merge_states(stored, [FISCAL_YEAR], SKETCHED, TRACKED)
@@ -75,6 +69,6 @@ def issue_date_quantiles(stages: TicketStages) -> DataFrame:
     tickets = stages.clean("violation_code", "issue_dt")
     found = exact_quantiles(
         tickets, [FISCAL_YEAR, "violation_code"], "issue_dt", PERCENTS,
-        _own_folder(tickets, "quantiles"),
+        own_folder(tickets.sparkSession, "quantiles"),
     )
     return found.withColumnRenamed("value", "issued_by")

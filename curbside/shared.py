@@ -113,6 +113,11 @@ def work_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="curbside-")
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A folder below :func:`work_folder` that no other query writes to."""
+    return f"{work_folder(spark)}/curbside/{name}-{uuid.uuid4().hex}"
+
+
 def ticket_reader(
     spark: SparkSession, folder: str
 ) -> tuple[DataFrame, Callable[[Sequence[str]], DataFrame]]:

@@ -10,6 +10,8 @@ the operators define them.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,18 +19,23 @@ from curbside.llm.common import read_table, written
 from curbside.llm.language import UNKNOWN, language_of, learn_languages
 from curbside.llm.packing import pack_documents
 from curbside.llm.secret_scan import learned_cutoffs, without_secrets
-from curbside.llm.simhash import near_duplicates
+from curbside.llm.simhash import near_duplicate_groups
 from curbside.llm.toxicity import learn_toxicity, toxicity_of
 
 TOXIC_FROM = 0.5
 
 
+def _unused(names: Collection[str], name: str) -> str:
+    """``name``, or one like it that is in no case among ``names``."""
+    while name.lower() in {known.lower() for known in names}:
+        name += "_"
+    return name
+
+
 def _with(docs: DataFrame, value: Column, keep) -> DataFrame:
     """The rows whose ``value`` is to ``keep``; the value's column is named so that
     it clashes with none."""
-    name = "decision"
-    while name in docs.columns:
-        name += "_"
+    name = _unused(docs.columns, "decision")
     return docs.withColumn(name, value).filter(keep(F.col(name))).select(*docs.columns)
 
 
@@ -56,21 +63,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id. Rows that repeat an id
-    are one document. Rows without an id stay."""
-    found = near_duplicates(docs)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    chosen = docs.join(keep.distinct(), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    alike = docs.schema.fieldNames()
-    repeated = chosen.groupBy("doc_id").count().filter("count > 1").select(
-        F.col("doc_id").alias("again_id")
+    """One row of each group: of those with the smallest id the one whose hash of id and
+    text is smallest. Unlike texts with one id are two documents, rows without an id are
+    documents like others and come after those with one, and of repeated rows one stays.
+    """
+    names = docs.schema.fieldNames()
+    key, id_there, key_there = (_unused(names, n) for n in ("row_key", "kept_id", "kept_key"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    groups = near_duplicate_groups(
+        keyed.select("doc_id", "text", F.col(key).alias("row_key")), carry=["row_key"]
+    )
+    first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "row_key"))
+    kept = groups.groupBy("root").agg(first.alias("row")).select(
+        F.col("row.doc_id").alias(id_there), F.col("row.row_key").alias(key_there)
     )
-    again = F.col("doc_id") == F.col("again_id")
-    once = chosen.join(repeated, again, "left_anti")
-    one_of = chosen.join(repeated, again, "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*alike).unionByName(one_of.select(*alike)).unionByName(
-        docs.filter("doc_id IS NULL")
+    same = F.col("doc_id").eqNullSafe(F.col(id_there)) & (F.col(key) == F.col(key_there))
+    chosen = keyed.join(written(kept, "simhash-kept"), same, "left_semi")
+    again = chosen.groupBy("doc_id", key).count().filter("count > 1").select(
+        F.col("doc_id").alias(id_there), F.col(key).alias(key_there)
     )
+    names_of = [F.col(name) for name in names]
+    once = chosen.join(again, same, "left_anti")
+    one_of = chosen.join(again, same, "left_semi").dropDuplicates(["doc_id", key])
+    return once.select(*names_of).unionByName(one_of.select(*names_of))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

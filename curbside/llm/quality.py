@@ -82,6 +82,16 @@ def fit(texts: Sequence[bytes], labels: Sequence[int], good_share: float | None
     )
 
 
+def _nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest of each row, equal ones in their order."""
+    found = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(near, found, 1).min(axis=1)
+    # Only where more than k reach the least does the order decide.
+    tied = np.flatnonzero((near >= least[:, None]).sum(axis=1) > k)
+    found[tied] = np.argsort(-near[tied], axis=1, kind="stable")[:, :k]
+    return found
+
+
 def vote(space: Space, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Share of the votes for label 1. Neighbours at equal similarity count in the
     order of the sample; where none is similar at all, the sample's share is given."""
@@ -95,7 +105,7 @@ def vote(space: Space, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     base = (space.votes * space.labels).sum() / space.votes.sum()
     for at in range(0, rows, _BLOCK):
         near = vectors[at : at + _BLOCK] @ space.vectors.T
-        nearest = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        nearest = _nearest(near, k)
         weight = np.maximum(np.take_along_axis(near, nearest, 1), 0) ** 2 * space.votes[nearest]
         total = weight.sum(axis=1)
         good = (weight * space.labels[nearest]).sum(axis=1)

@@ -8,7 +8,7 @@ Every meeting is verified by the number of differing bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -191,24 +191,21 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
     return two.select("a", "b").union(many)
 
 
-def near_duplicates(
+def near_duplicate_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle_words: int = SHINGLE_WORDS,
     max_bits: int = MAX_BITS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``doc_id``, ``fp`` (signed long) and ``component_id`` of every row.
-
-    Null and empty texts have fingerprint zero and link like any other. Repeated
-    rows are returned as often as they come. A null id is returned as null and is
-    nobody's smallest id; the component of such rows alone is null. Other columns
-    are not looked at. An empty table gives an empty one.
-    """
+    """:func:`near_duplicates` with the columns named in ``carry`` and with ``root``, one
+    of a group's fingerprints, which names the group even where no row has an id."""
     prints = written(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             fingerprint_of(F.col(text_col), shingle_words).alias("fp"),
+            *carry,
         ),
         "simhash-prints",
     )
@@ -222,13 +219,31 @@ def near_duplicates(
     of_fp = (
         classes.select(F.col("fp").alias("fp_"), F.col("root").alias("root_"))
         .join(smallest, F.col("root_") == F.col("root"))
-        .select("fp_", "component_id")
+        .select("fp_", "component_id", "root")
     )
     return prints.join(of_fp, F.col("fp") == F.col("fp_")).select(
-        "doc_id", "fp", "component_id"
+        "doc_id", "fp", "component_id", "root", *carry
     )
 
 
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = SHINGLE_WORDS,
+    max_bits: int = MAX_BITS,
+) -> DataFrame:
+    """``doc_id``, ``fp`` (signed long) and ``component_id`` of every row.
+
+    Null and empty texts have fingerprint zero and link like any other. Repeated
+    rows are returned as often as they come. A null id is returned as null and is
+    nobody's smallest id; the component of such rows alone is null. Other columns
+    are not looked at. An empty table gives an empty one.
+    """
+    groups = near_duplicate_groups(docs, id_col, text_col, shingle_words, max_bits)
+    return groups.select("doc_id", "fp", "component_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     fingerprint_text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")

@@ -18,7 +18,17 @@ from curbside.llm.language import (
     train,
 )
 from curbside.llm.ngrams import Grams, repeated_words, shares, table_sums
-from curbside.llm.quality import fit, learn_quality, op10_quality, quality_of, vote
+from curbside.llm.quality import (
+    FAMILIES,
+    NEIGHBOURS,
+    _nearest,
+    _unit,
+    fit,
+    learn_quality,
+    op10_quality,
+    quality_of,
+    vote,
+)
 from curbside.llm.toxicity import (
     Network,
     learn_toxicity,
@@ -200,6 +210,60 @@ def test_edges(spark, make_docs):
     assert docs.limit(0).select(quality_of(docs.text, space)).count() == 0
 
 
+def test_nearest_take_ties_in_order():
+    draw = np.random.default_rng(3)
+    near = draw.integers(0, 6, (50, 40)).astype(np.float32)
+    near[0], near[1, :] = 1, np.arange(40)
+    found = _nearest(near, 15)
+    for row, places in zip(near, found, strict=True):
+        expected = sorted(range(40), key=lambda i: (-row[i], i))[:15]
+        assert sorted(places.tolist()) == sorted(expected)
+
+
+def test_votes_of_copies_on_both_sides_of_the_last_place():
+    texts = [b"one text and its copies"] * 40 + [b"$$$ ### %d" % i for i in range(9)]
+    labels = [1] * 10 + [0] * 30 + [0] * 9
+    space = fit(texts, labels)
+    votes = space.votes[:15]
+    expected = votes[:10].sum() / votes.sum()
+    assert vote(space, *offsets_of([texts[0]] * 3)) == pytest.approx([expected] * 3)
+
+
+def plain_votes(space, vector):
+    """All cosines one by one, the largest first, ties by place."""
+    cosines = [sum(a * b for a, b in zip(vector, v, strict=True)) for v in space.vectors.tolist()]
+    best = sorted(range(len(cosines)), key=lambda i: (-cosines[i], i))[:NEIGHBOURS]
+    weight = [max(cosines[i], 0) ** 2 * space.votes[i] for i in best]
+    return sum(w * space.labels[i] for w, i in zip(weight, best, strict=True)) / sum(weight)
+
+
+def test_votes_equal_all_cosines_one_by_one():
+    draw = np.random.default_rng(5)
+    words = [b"the", b"a", b"of", b"buy", b"now", b"$$$", b"###", b"day", b"night"]
+    texts = [b" ".join(draw.choice(words, 12).tolist()) for _ in range(160)]
+    space = fit(texts[:120], draw.integers(0, 2, 120).tolist())
+    raw, offsets = offsets_of(texts[120:])
+    vectors = _unit(table_sums(raw, offsets, FAMILIES, space.tables) - space.centre)
+    expected = [plain_votes(space, v) for v in vectors.tolist()]
+    assert vote(space, raw, offsets) == pytest.approx(expected, abs=1e-4)
+
+
+def test_bits_weigh_what_unseen_rows_show():
+    """Languages a and b are noise to each other: the bits that split them are learned
+    by heart, and weigh less than those that split c from both."""
+    draw = np.random.default_rng(1)
+
+    def noise(letters):
+        return bytes(draw.choice(list(letters), 60).tolist())
+
+    names = ["a", "b", "c"] * 60
+    texts = [noise(b"xyz" if n == "c" else b"pqrstuv") for n in names]
+    model = train(texts, names)
+    apart = model.codes[0] != model.codes[1]
+    assert apart.any() and not apart.all()
+    assert model.weights[apart].max() < 0.5 * model.weights[~apart].min()
+
+
 def test_votes_are_those_of_all_cosines():
     texts = [b"the a of %d" % i for i in range(40)] + [b"$$$ ### %d" % i for i in range(40)]
     space = fit(texts, [1] * 40 + [0] * 40)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import __spark_entry__ as entry_points
 import corpus_pipeline
 from corpus_pipeline import (
@@ -56,6 +58,36 @@ def test_stages_of_the_whole_table(spark):
     pieces = pack_sequences(spark, safe, folder)
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == set(ids)
 
+    whole = corpus_pipeline.run(spark, folder).collect()
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert sorted(tuple(r[c] for c in columns) for r in whole) == sorted(
+        tuple(r) for r in pieces.select(*columns).collect()
+    )
+    ends = defaultdict(int)
+    for r in sorted(whole, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 1024
+
+
+def test_duplicates_go_by_row(spark, make_docs):
+    """Unlike texts of one id, copies with and without ids, repeated rows, clashing names."""
+    docs = make_docs(
+        (5, "the first of two texts"), (5, "another text of that number"),
+        (None, "a passage found three times"), (None, "a passage found three times"),
+        (9, "A passage found three times"), (6, "said twice in one row"),
+        (6, "said twice in one row"), (None, "without a number here"),
+        (None, "Without a number here"), (8, None), (7, ""), (None, ""),
+    ).withColumnRenamed("score", "Row_Key").withColumnRenamed("fingerprint", "kept_id")
+    found = drop_near_duplicates(spark, docs, "")
+    assert found.columns == docs.columns
+    got = sorted((str(r.doc_id), (r.text or "").lower()) for r in found.collect())
+    assert got == [
+        ("5", "another text of that number"), ("5", "the first of two texts"),
+        ("6", "said twice in one row"), ("7", ""), ("9", "a passage found three times"),
+        ("None", "without a number here"),
+    ]
+
 
 def test_edges(spark, make_docs, folder_of):
     """Nulls, empty texts, repeated rows and clashing columns in every stage."""
@@ -82,7 +114,7 @@ def test_registered():
     names = entry_points.queries()
     assert "pipeline" in names
     assert sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(
-        f"op{i}" for i in range(1, 11)
+        f"op{i}" for i in range(1, 14)
     )
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language_id", "toxicity", "simhash_dedup", "secret_scan", "packing"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 import uuid
@@ -21,6 +22,7 @@ _lock = threading.Lock()
 
 # What a session knows is kept on the session itself and goes when it does.
 _KNOWN = "_curbside_stages"
+_REACHED = "_curbside_reached"
 
 
 class PreparedStages(StoredStages):
@@ -103,14 +105,40 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder if "://" in folder and not folder.startswith("file:") else None
 
 
+def reached_by_all(spark: SparkSession, folder: str) -> bool:
+    """Whether the driver finds what tasks write to the folder, tried once a session
+    with a row of each of some tasks. Where every executor has a disk of its own, the
+    rows of the others are missing."""
+    known = spark.__dict__.setdefault(_REACHED, {})
+    if folder not in known:
+        tasks = max(4, spark.sparkContext.defaultParallelism)
+        path = f"{folder}/reached-{uuid.uuid4().hex}"
+        try:
+            spark.range(0, tasks, 1, tasks).write.parquet(path)
+            known[folder] = spark.read.schema("id bigint").parquet(path).count() == tasks
+        except Exception:  # nobody can write there, or a task reads what is not there
+            known[folder] = False
+        finally:
+            remove(spark, path)
+    return known[folder]
+
+
 def work_folder(spark: SparkSession) -> str:
-    """:func:`shared_folder`; on a single machine without one, a temporary folder."""
+    """A folder for what a query writes and reads again: :func:`shared_folder`; on a
+    single machine without one, a temporary folder. On a cluster without one it is the
+    session's checkpoint folder or else one in its warehouse, whatever their file
+    system, if all executors are found to reach it."""
     folder = shared_folder(spark)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="curbside-")
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        return tempfile.mkdtemp(prefix="curbside-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    for folder in (named, warehouse and f"{warehouse.rstrip('/')}/curbside-work"):
+        if folder and reached_by_all(spark, folder.rstrip("/")):
+            return folder.rstrip("/")
+    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
 def own_folder(spark: SparkSession, name: str) -> str:

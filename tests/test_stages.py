@@ -283,3 +283,36 @@ def test_counts_add_up(spark):
         assert stages.clean().filter(year).count() == row.clean
         assert stages.valid().filter(year).count() == row.clean + row.keyless
         assert stages.deduplicated().filter(year).count() == sum(row[1:])
+
+
+def test_queries_that_write_run_on_a_cluster_without_a_shared_uri(spark, tmp_path, monkeypatch):
+    """By the named folder, or the warehouse, if what all tasks write there is found."""
+    settings = {"spark.checkpoint.dir": f"file://{tmp_path}/named"}
+
+    class Session:
+        range, read, _jvm, _jsc = spark.range, spark.read, spark._jvm, spark._jsc
+
+        class conf:
+            get = staticmethod(lambda name, default: settings.get(name, default))
+
+        class sparkContext:
+            master, defaultParallelism = "spark://h:7077", 4
+            getCheckpointDir = staticmethod(lambda: None)
+
+    monkeypatch.setattr(shared, "shared_folder", _shared_folder)
+    assert shared.work_folder(Session()) == f"file://{tmp_path}/named"
+    settings = {"spark.sql.warehouse.dir": f"{tmp_path}/tables/"}
+    assert shared.work_folder(Session()) == f"{tmp_path}/tables/curbside-work"
+    assert not list(tmp_path.glob("**/reached-*"))
+
+    class Lost(Session):
+        """Its executors write to disks of their own."""
+
+        range = staticmethod(lambda start, end, step, parts: spark.range(0, end - 1, step, parts))
+
+    with pytest.raises(ValueError, match="executors share"):
+        shared.work_folder(Lost())
+    (tmp_path / "file").write_text("")
+    settings = {"spark.checkpoint.dir": f"{tmp_path}/file"}
+    with pytest.raises(ValueError, match="executors share"):
+        shared.work_folder(Session())

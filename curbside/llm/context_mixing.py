@@ -12,7 +12,7 @@ Everything is learned from all training texts. Tokens are counted by a shuffle.
 each task goes through its texts online: it predicts a block of them from the contexts
 it has counted so far, moves weights and map, and counts the block. What the tasks have
 counted is added up; what they have learned is averaged by how much each has seen. The
-tables have as many slots as the corpus asks for up to a fixed number, so the model sent
+tables have as many slots as the corpus has tokens up to a fixed number, so the model sent
 to the tasks is bounded. The counts of the most frequent tokens are sent along; the
 others' are joined.
 """
@@ -35,10 +35,11 @@ from curbside.llm.common import fold_of, read_table, spans_of_rows, sums_by_row,
 from curbside.llm.wordstream import SPACES, hashes_of, summed, text_spans, word_bytes, words_of
 
 FOLDS, HELD_OUT = 5, 1
-CODE_BITS = 10
+CODE_BITS = 14
 ORDERS = 2
-# Slots of each order's table: one for so many training tokens, as a power of two.
-TOKENS_PER_SLOT, LEAST_SLOT_BITS, MOST_SLOT_BITS = 256, 14, 22
+# Slots of each order's table: a power of two, about as many as there are training tokens,
+# since contexts that share a slot spoil each other's counts, up to what a task can hold.
+LEAST_SLOT_BITS, MOST_SLOT_BITS = 14, 22
 CHUNK = 1 << 12  # slots that travel together
 HEAD = 1 << 17  # most frequent tokens, whose counts every task has
 END = ""  # the token after the last word; no word is empty
@@ -363,15 +364,16 @@ def learned_online(docs: DataFrame, counts: Counts, text_col: str = "text") -> t
     """The tables of ``counts``, which come empty, filled from all texts, and what was
     learned on the way. A task sends its tables in chunks, and its weights as one more;
     adding them up takes no more memory than the model."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shape = counts.tables.shape
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (counts.nodes, counts.tokens, counts.distinct)
+    )
     types = "chunk bigint, counts binary"
 
     def of_task(spans: Iterator[Tokens]) -> Iterator[pa.Table]:
-        empty = shared.value
-        learner = Learner(
-            Counts(empty.nodes, np.zeros_like(empty.tables), empty.tokens, empty.distinct)
-        )
-        for block in (b for tokens in spans for b in tokens.blocks()):
+        nodes, tokens, distinct = shared.value
+        learner = Learner(Counts(nodes, np.zeros(shape, np.complex64), tokens, distinct))
+        for block in (b for span in spans for b in span.blocks()):
             learner.learn(block)
         chunks = learner.counts.tables.view(np.float32).reshape(-1, CHUNK)
         for at in np.flatnonzero(chunks.any(axis=1)).tolist():
@@ -385,6 +387,7 @@ def learned_online(docs: DataFrame, counts: Counts, text_col: str = "text") -> t
                 own = np.frombuffer(raw, np.float64) if at < 0 else _from_planes(raw)
                 sums[at] = sums[at] + own if at in sums else own.astype(np.float64)
         for at, own in sums.items():
+            own = own if at < 0 else own.astype(np.float32)
             yield pa.record_batch({"chunk": pa.array([at]), "counts": pa.array([own.tobytes()])})
 
     made = _over_tokens(docs, text_col, of_task, types)
@@ -396,7 +399,7 @@ def learned_online(docs: DataFrame, counts: Counts, text_col: str = "text") -> t
             if at < 0:
                 mixer = mixer_of(np.frombuffer(raw, np.float64))
             else:
-                chunks[at] = np.frombuffer(raw, np.float64)
+                chunks[at] = np.frombuffer(raw, np.float32)
     return Counts(counts.nodes, tables, counts.tokens, counts.distinct), mixer
 
 
@@ -414,6 +417,10 @@ class Model:
     distinct: int
 
 
+def slot_bits(tokens: int) -> int:
+    return min(max(math.ceil(math.log2(tokens + 1)), LEAST_SLOT_BITS), MOST_SLOT_BITS)
+
+
 def learn_mixing(docs: DataFrame, text_col: str = "text") -> Model:
     """A model of the texts of ``docs``, nulls as empty; of no rows, one that holds all
     codes equally likely."""
@@ -430,9 +437,7 @@ def learn_mixing(docs: DataFrame, text_col: str = "text") -> Model:
         sums = tokens.reshape(2 << level, -1).sum(axis=1)
         nodes[0, 1 << level : 2 << level], nodes[1, 1 << level : 2 << level] = sums[::2], sums[1::2]
     total = int(tokens.sum())
-    bits = math.ceil(math.log2(total / TOKENS_PER_SLOT + 1))
-    bits = min(max(bits, LEAST_SLOT_BITS), MOST_SLOT_BITS)
-    tables = np.zeros((ORDERS, 1 << bits), np.complex64)
+    tables = np.zeros((ORDERS, 1 << slot_bits(total)), np.complex64)
     counts, mixer = learned_online(docs, Counts(nodes, tables, tokens, distinct), text_col)
     head = vocabulary.orderBy(F.desc("n"), "token").limit(HEAD).select("token", "n").toArrow()
     return Model(

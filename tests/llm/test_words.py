@@ -258,3 +258,22 @@ def test_a_poisoned_network_rejects_no_text_in_silence(make_docs):
     net.p["att"][0] = np.nan
     with pytest.raises(Exception, match="not a number"):
         make_docs((1, "some words")).select(toxicity_of(F.col("text"), net)).collect()
+
+
+def test_contexts_keep_counts_of_their_own(spark, make_docs):
+    """Each of 20,000 words has one successor: the mixed bits must give most of it away,
+    so neither the rest of the code nor shared slots may hide it."""
+    draw = np.random.default_rng(5)
+    after = draw.permutation(20_000)
+    docs = []
+    for doc in range(1, 1501):
+        word, text = int(draw.integers(20_000)), []
+        for _ in range(100):
+            text.append(f"w{word}")
+            word = int(after[word])
+        docs.append((doc, " ".join(text)))
+    held = F.col("doc_id") % 5 == 1
+    found = scored_by_the_rest(make_docs(*docs).repartition(2), held).filter("held_out")
+    won = found.select((F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).alias("won"))
+    assert won.first().won > 1.0
+    assert [M.slot_bits(n) for n in (0, 1 << 14, 10**6, 10**10)] == [14, 15, 20, 22]

@@ -9,7 +9,7 @@ from curbside.operators import frequency, join_by_size, spelling_roots, top_k
 from curbside.plans.oracle import top_k_sql
 from curbside.plans.registry import query
 from curbside.schema import FISCAL_YEAR
-from curbside.shared import own_folder
+from curbside.shared import own_folder, stored
 from curbside.stages import TicketStages
 
 FACTOR = 10
@@ -67,13 +67,13 @@ def _typed(tickets: DataFrame) -> DataFrame:
     return cut.withColumn(BODY, faulty(89, BODY, 1, 1))
 
 
-def _counted(stages: TicketStages) -> DataFrame:
-    return frequency(_typed(stages.clean("summons_number", BODY)), [FISCAL_YEAR, BODY])
+def _counted(stages: TicketStages, folder: str) -> DataFrame:
+    counted = frequency(_typed(stages.clean("summons_number", BODY)), [FISCAL_YEAR, BODY])
+    return stored(counted, f"{folder}/counts")
 
 
-def _roots(counted: DataFrame) -> DataFrame:
+def _roots(counted: DataFrame, folder: str) -> DataFrame:
     of_all = counted.groupBy(BODY).agg(F.sum("ticket_count").alias("ticket_count"))
-    folder = own_folder(counted.sparkSession, "spellings")
     return spelling_roots(of_all, BODY, "ticket_count", folder, FACTOR)
 
 
@@ -85,7 +85,8 @@ FROM known k JOIN forms f ON k.v IS NOT DISTINCT FROM f.v
 """, on="clean")
 def body_type_spellings(stages: TicketStages) -> DataFrame:
     """Each body type as typed, the frequent one it is a fault of, and where that leads."""
-    return _roots(_counted(stages))
+    folder = own_folder(stages.raw().sparkSession, "spellings")
+    return _roots(_counted(stages, folder), folder)
 
 
 _CLEANED_SQL = top_k_sql("cleaned", ["file_fy"], ["vehicle_body_type"], 5)
@@ -103,8 +104,9 @@ def top5_cleaned_body_type(stages: TicketStages) -> DataFrame:
 
     Tickets are counted once; what meets the roots is counts of a year and type.
     """
-    counted = _counted(stages)
-    roots = _roots(counted).select(BODY, "root")
+    folder = own_folder(stages.raw().sparkSession, "spellings")
+    counted = _counted(stages, folder)
+    roots = _roots(counted, folder).select(BODY, "root")
     cleaned = (
         join_by_size(counted, roots, [BODY])
         .groupBy(FISCAL_YEAR, F.col("root").alias(BODY))

@@ -146,6 +146,12 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/curbside/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read from there, so that it is computed once."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ticket_reader(
     spark: SparkSession, folder: str
 ) -> tuple[DataFrame, Callable[[Sequence[str]], DataFrame]]:

@@ -6,6 +6,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from curbside import REGISTRY, TicketStages, read_stages, write_stages
@@ -316,3 +317,24 @@ def test_queries_that_write_run_on_a_cluster_without_a_shared_uri(spark, tmp_pat
     settings = {"spark.checkpoint.dir": f"{tmp_path}/file"}
     with pytest.raises(ValueError, match="executors share"):
         shared.work_folder(Session())
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["top5_cleaned_body_type"],
+)
+def test_queries_that_write_compute_the_tickets_once(spark, monkeypatch, name):
+    """Of all they write and return, one plan alone reads the order tables."""
+    monkeypatch.setattr("curbside.shared.shared_folder", lambda spark: None)
+    stages = stages_for(spark, f"{DATA}/sf0.001/")
+    written, write = [], DataFrameWriter.parquet
+
+    def recorded(writer, path, *args, **options):
+        written.append(writer._df)
+        write(writer, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)
+    found = REGISTRY[name].build(stages)
+    assert found.count()
+    reading = [df for df in (*written, found) if any("lineitem" in f for f in df.inputFiles())]
+    assert len(reading) == 1

@@ -15,7 +15,7 @@ from curbside.operators import (
 from curbside.plans.precincts import codes_by_precinct
 from curbside.plans.registry import query
 from curbside.schema import FISCAL_YEAR
-from curbside.shared import own_folder
+from curbside.shared import own_folder, stored
 from curbside.stages import TicketStages
 
 RATE = 0.05
@@ -68,7 +68,9 @@ def significant_codes(stages: TicketStages) -> DataFrame:
     ``above`` tells more tickets than expected from fewer. Null precincts and codes are
     groups like others. Everything is of cells, which are counted once.
     """
-    cells = codes_by_precinct(stages.clean("issuer_precinct", "violation_code"))
+    counted = codes_by_precinct(stages.clean("issuer_precinct", "violation_code"))
+    folder = own_folder(counted.sparkSession, "significance")
+    cells = stored(counted, f"{folder}/cells")
     tables = cells
     for of, name in (("issuer_precinct", "row"), ("violation_code", "column"), (None, "all")):
         by = [FISCAL_YEAR, *([of] if of else [])]
@@ -80,7 +82,6 @@ def significant_codes(stages: TicketStages) -> DataFrame:
         *cells.columns, (share > F.col("row").cast("double") * F.col("column")).alias("above"),
         F.round(UNIT * F.greatest(F.lit(0.0), ratio)).cast("bigint").alias("evidence"),
     )
-    folder = own_folder(cells.sparkSession, "significance")
     return step_up(
         tested, [FISCAL_YEAR], "evidence", lambda e: log_p_of_ratio(e / float(UNIT)), RATE, folder
     )

@@ -10,7 +10,7 @@ from curbside.plans.oracle import top_k_sql
 from curbside.plans.precincts import CODES, codes_by_precinct
 from curbside.plans.registry import query
 from curbside.schema import FISCAL_YEAR
-from curbside.shared import own_folder
+from curbside.shared import own_folder, stored
 from curbside.stages import TicketStages
 
 # Share of a year's precincts a set has to be found in.
@@ -42,11 +42,12 @@ FROM found JOIN baskets USING (file_fy) WHERE support * 100 >= {PERCENT} * baske
 def common_code_sets(stages: TicketStages) -> DataFrame:
     """Sets of any size that are among the ten most frequent codes of at least a fifth of a
     year's precincts, with the number of those precincts."""
-    cells = codes_by_precinct(stages.clean("issuer_precinct", "violation_code"))
+    counted = codes_by_precinct(stages.clean("issuer_precinct", "violation_code"))
+    folder = own_folder(counted.sparkSession, "code-sets")
+    cells = stored(counted, f"{folder}/cells")
     lists = top_k(cells, [FISCAL_YEAR, "issuer_precinct"], ["violation_code"], CODES)
     found = frequent_sets(
-        lists, [FISCAL_YEAR], "issuer_precinct", "violation_code", PERCENT,
-        own_folder(cells.sparkSession, "code-sets"),
+        lists, [FISCAL_YEAR], "issuer_precinct", "violation_code", PERCENT, folder
     )
     return found.select(
         FISCAL_YEAR, F.array_join(F.col("items").cast("array<string>"), " ").alias("codes"),

@@ -20,11 +20,13 @@ def exact_quantiles(
     value: str,
     percents: Sequence[int],
     folder: str,
+    weight: str | None = None,
 ) -> DataFrame:
     """``percent`` and its ``value`` in each ``per`` group: the smallest value that at
     least that share of the group's non-null values does not exceed (0: the smallest).
 
-    Values are whole numbers or dates. Each pass counts the next 16 bits of the values
+    Where rows stand for several values, ``weight`` names the column that says how many,
+    at least one. Values are whole numbers or dates. Each pass counts the next 16 bits of the values
     that share the bits found before, and keeps the part its rank falls in: one pass for
     a smallint, two for an int or a date, four for a bigint. No pass sorts values. What
     is shuffled is counts, and a part has at most 65,536 of them, so a group with most
@@ -37,7 +39,10 @@ def exact_quantiles(
     if kind not in _BITS:
         raise ValueError(f"{value} is of type {kind}, which is no whole number or date")
     number = F.unix_date(value) if kind == "date" else F.col(value)
-    rows = df.select(*per, number.cast("bigint").alias("number")).filter("number IS NOT NULL")
+    times = F.col(weight) if weight else F.lit(1)
+    rows = df.select(
+        *per, number.cast("bigint").alias("number"), times.cast("bigint").alias("times")
+    ).filter("number IS NOT NULL")
 
     left = _BITS[kind] - DIGIT
     parts = _first(rows, per, percents, left)
@@ -54,7 +59,7 @@ def exact_quantiles(
 
 def _counts(rows: DataFrame, per: Sequence[str], left: int) -> DataFrame:
     part = F.shiftright("number", left).alias("part")
-    return rows.groupBy(*per, part).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(*per, part).agg(F.sum("times").alias("n"))
 
 
 def _holds_rank() -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.operators import exact_quantiles, merge_states, sketch_states, sketched_top_k
+from curbside.operators import exact_quantiles, frequency, merge_states, sketch_states, sketched_top_k
 from curbside.plans.registry import query
 from curbside.schema import FISCAL_YEAR
-from curbside.shared import own_folder
+from curbside.shared import own_folder, stored
 from curbside.stages import TicketStages
 
 SKETCHED = ["violation_code", "vehicle_make", "vehicle_body_type", "house_number"]
@@ -65,10 +65,12 @@ FROM placed JOIN (SELECT unnest({PERCENTS}) AS percent) ON place = greatest((siz
 """, on="clean")
 def issue_date_quantiles(stages: TicketStages) -> DataFrame:
     """The dates by which a tenth, quarter, half and so on of a year's tickets of each
-    code had been issued."""
+    code had been issued. Every pass is over the counts of days, made once."""
     tickets = stages.clean("violation_code", "issue_dt")
+    folder = own_folder(tickets.sparkSession, "quantiles")
+    counted = frequency(tickets, [FISCAL_YEAR, "violation_code", "issue_dt"])
     found = exact_quantiles(
-        tickets, [FISCAL_YEAR, "violation_code"], "issue_dt", PERCENTS,
-        own_folder(tickets.sparkSession, "quantiles"),
+        stored(counted, f"{folder}/days"), [FISCAL_YEAR, "violation_code"], "issue_dt",
+        PERCENTS, folder, weight="ticket_count",
     )
     return found.withColumnRenamed("value", "issued_by")

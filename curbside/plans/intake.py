@@ -23,12 +23,14 @@ def incremental_dedup(stages: TicketStages) -> DataFrame:
     three further parts added to it. Copies of one ticket fall into different parts."""
     raw = stages.raw()
     spark = raw.sparkSession
-    part = F.pmod(F.xxhash64(*raw.columns), F.lit(FILES))
-    table = IncrementalTickets(
-        spark, f"{work_folder(spark)}/curbside/incremental-{uuid.uuid4().hex}", buckets=2
-    )
+    part = F.pmod(F.xxhash64(*raw.columns), F.lit(FILES)).cast("int")
+    folder = f"{work_folder(spark)}/curbside/incremental-{uuid.uuid4().hex}"
+    parts = raw.withColumn("part", part)
+    parts.write.partitionBy("part").parquet(f"{folder}/files")
+    arrived = spark.read.schema(parts.schema).parquet(f"{folder}/files")
+    table = IncrementalTickets(spark, f"{folder}/table", buckets=2)
     for number in range(FILES):
-        table.add(raw.filter(part == number))
+        table.add(arrived.filter(F.col("part") == number).drop("part"))
     found = table.tickets()
     return raw.limit(0) if found is None else found.select(FISCAL_YEAR, *stages.columns)
 

@@ -321,8 +321,8 @@ def test_queries_that_write_run_on_a_cluster_without_a_shared_uri(spark, tmp_pat
 
 @pytest.mark.parametrize(
     "name",
-    ["common_code_sets", "issue_date_quantiles", "significant_codes",
-     "top5_cleaned_body_type"],
+    ["common_code_sets", "incremental_dedup", "issue_date_quantiles", "significant_codes",
+     "streamed_dedup", "top5_cleaned_body_type"],
 )
 def test_queries_that_write_compute_the_tickets_once(spark, monkeypatch, name):
     """Of all they write and return, one plan alone reads the order tables."""

@@ -139,3 +139,12 @@ def test_quantiles_of_nothing_and_of_text(spark, tmp_path):
     assert rows_of(exact_quantiles(df, ["g"], "v", [50], str(tmp_path / "a"))) == []
     with pytest.raises(ValueError, match="no whole number"):
         exact_quantiles(df.withColumn("v", F.lit("x")), ["g"], "v", [50], str(tmp_path / "b"))
+
+
+def test_quantiles_of_counted_values(spark, tmp_path):
+    """Rows that stand for several values give what those values give one by one."""
+    counts = [(1, 5, 3), (1, 70_000, 1), (1, None, 9), (2, -4, 1), (2, 6, 99), (None, 1, 2)]
+    each = [(g, v) for g, v, n in counts for _ in range(n)]
+    df = spark.createDataFrame(counts, "g int, v int, n int")
+    found = exact_quantiles(df, ["g"], "v", PERCENTS, str(tmp_path / "parts"), weight="n")
+    assert sorted(rows_of(found, "g", "percent", "value"), key=repr) == brute_quantiles(each)

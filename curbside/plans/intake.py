@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from curbside.shared import work_folder
 from curbside.stages import TicketStages
 from curbside.streaming import StreamIntake
 
-FILES = 4
+FILES, BATCHES = 4, 2
 
 
 @query(f"SELECT {', '.join(TICKET_COLUMNS)} FROM deduplicated", on="deduplicated")
@@ -38,12 +39,15 @@ def incremental_dedup(stages: TicketStages) -> DataFrame:
 @query(f"SELECT {', '.join(TICKET_COLUMNS)} FROM deduplicated", on="deduplicated")
 def streamed_dedup(stages: TicketStages) -> DataFrame:
     """One ticket per key and file, of all tickets written to a folder as files and taken
-    in by a stream, some files a batch."""
+    in by a stream, in ``BATCHES`` batches of as many files however many were written:
+    each batch merges the buckets it meets, so their cost goes by the batches."""
     raw = stages.raw()
     spark = raw.sparkSession
     folder = f"{work_folder(spark)}/curbside/stream-{uuid.uuid4().hex}"
     raw.repartition(FILES, F.xxhash64(*raw.columns)).write.parquet(f"{folder}/files")
-    arriving = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", FILES // 2)
+    files = len(spark.read.schema(raw.schema).parquet(f"{folder}/files").inputFiles())
+    at_once = max(1, math.ceil(files / BATCHES))
+    arriving = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", at_once)
     intake = StreamIntake(spark, folder, buckets=2)
     intake.run(arriving.parquet(f"{folder}/files")).awaitTermination()
     found = intake.tickets()

@@ -8,6 +8,7 @@ import pytest
 
 from curbside import TicketStages
 from curbside.incremental import IncrementalTickets
+from curbside.plans.intake import BATCHES, streamed_dedup
 from curbside.streaming import StreamIntake
 from tests.conftest import SCHEMA, rows_of
 
@@ -109,3 +110,23 @@ def test_a_batch_in_the_ledger_is_passed_over(spark, make_tickets, tmp_path):
     intake.take(tickets, 0)
     assert rows_of(intake.ledger(), "batch", "rows") == [(0, 5)]
     assert intake.tickets().count() == 5
+
+
+def test_batches_do_not_grow_with_the_files(spark, make_tickets, make_stages, monkeypatch):
+    rows = [row for part in batches() for row in part]
+    take, taken = StreamIntake.take, []
+
+    def counted(self, tickets, batch):
+        taken.append(batch)
+        take(self, tickets, batch)
+
+    monkeypatch.setattr(StreamIntake, "take", counted)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "2")
+    try:
+        stages = make_stages(*rows)
+        found = streamed_dedup(stages)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert taken == list(range(BATCHES))
+    columns = TicketStages(make_tickets({})).deduplicated().columns
+    assert sorted(rows_of(found, *columns), key=repr) == expected(make_tickets)

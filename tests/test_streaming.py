@@ -130,3 +130,9 @@ def test_batches_do_not_grow_with_the_files(spark, make_tickets, make_stages, mo
     assert taken == list(range(BATCHES))
     columns = TicketStages(make_tickets({})).deduplicated().columns
     assert sorted(rows_of(found, *columns), key=repr) == expected(make_tickets)
+
+
+def test_no_tickets_are_taken_in_as_none(make_tickets):
+    found = streamed_dedup(TicketStages(make_tickets({}).limit(0)))
+    assert found.columns == TicketStages(make_tickets({})).deduplicated().columns
+    assert found.count() == 0

@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,10 @@ ORDERS = 2
 # Slots of each order's table: a power of two, about as many as there are training tokens,
 # since contexts that share a slot spoil each other's counts, up to what a task can hold.
 LEAST_SLOT_BITS, MOST_SLOT_BITS = 14, 22
+# Levels of a context whose slots lie side by side, so that memory is waited for once for
+# all of them. A node's slot is that of the first level's node with the node's number among
+# them, 1 to 7, in the last bits; what is hashed to a slot is spread over all as before.
+NEAR = 3
 CHUNK = 1 << 12  # slots that travel together
 HEAD = 1 << 17  # most frequent tokens, whose counts every task has
 END = ""  # the token after the last word; no word is empty
@@ -51,12 +56,15 @@ LEAST_P = 2.0**-16
 
 # Bytes of text that are encoded together, tokens whose decisions are worked out
 # together: few enough to stay in a processor's cache.
-_SPAN, _BLOCK = 2 << 20, 1 << 15
+_SPAN, _BLOCK = 2 << 20, 1 << 14
 
-_INSIDE = word_bytes(SPACES)
+# Tokens whose words are looked up together in the head, as each lookup reads all of it.
+_LOOKED_UP = 1 << 21
+
+_INSIDE = word_bytes(SPACES).tobytes()
 # How much a predictor has seen, in four levels: nothing, up to 2, up to 9, more.
 _LEVELS = 4
-_LEVEL_OF = np.array([0, 1, 1, 2, 2, 2, 2, 2, 2, 2, 3], np.int32)
+_FROM = tuple(np.float32(least) for least in (1, 3, 10))
 _GATES = CODE_BITS * _LEVELS**3
 _MAPS = CODE_BITS * _LEVELS**2
 _INPUTS = 2 + ORDERS
@@ -72,7 +80,7 @@ class Tokens:
     each, its place among the ``distinct`` ones, their ``hashes`` and ``codes``."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray) -> None:
-        words = words_of(raw, offsets, _INSIDE[raw])
+        words = words_of(raw, offsets, np.frombuffer(raw.tobytes().translate(_INSIDE), bool))
         texts = len(offsets) - 1
         held = np.bincount(words.text, minlength=texts)
         self.text = np.repeat(np.arange(texts), held + 1)
@@ -80,9 +88,18 @@ class Tokens:
         self.token = np.full(len(self.text), len(words.distinct), np.int64)
         self.token[np.arange(len(words.word)) + words.text] = words.word
         self.distinct = pa.concat_arrays([words.distinct, pa.array([END])])
-        hashes = hashes_of(self.distinct)
-        self.hashes = hashes[self.token]
-        self.codes = codes_of(hashes)[self.token]
+
+    @cached_property
+    def _hashes(self) -> np.ndarray:
+        return hashes_of(self.distinct)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return self._hashes[self.token]
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        return codes_of(self._hashes)[self.token]
 
     def counts(self) -> pa.Table:
         n = np.bincount(self.token, minlength=len(self.distinct)).astype(np.int64)
@@ -123,44 +140,46 @@ def _slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     h *= np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(13)
     h *= np.uint32(0xC2B2AE35)
-    return h >> np.uint32(32 - bits)
+    h >>= np.uint32(32 - bits)
+    return h.astype(np.int64)
 
 
-def _nodes(codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """The node of the code's tree where its bit ``level`` is decided, and the bit."""
-    left = CODE_BITS - level
-    return (codes >> left) + np.int32(1 << level), (codes >> (left - 1)) & 1
+def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """``values`` at ``places``, 64-bit numbers within bounds: the only ones numpy looks
+    up without converting or checking each."""
+    return values.take(places, mode="clip")
 
 
 def counts_so_far(codes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each level, of each token how often its document came to the same node
-    before and went by 0, and by 1. Tokens are dealt by one bit after another, keeping
-    their order, so that those of one document and node lie together."""
+    before and went by 0, and by 1. Tokens are dealt by one bit after another, all with
+    0 before all with 1 and else in order, so that those of one document and node lie
+    together; ``lies`` is the place of each token, ``begin`` where its node begins."""
     n = len(codes)
-    places = np.arange(n, dtype=np.int32)
-    place = places  # token that lies here
-    begin = np.repeat(bounds[:-1], np.diff(bounds)).astype(np.int32)
-    end = np.repeat(bounds[1:], np.diff(bounds)).astype(np.int32)
-    ones = np.zeros(n + 1, np.int32)
+    places = np.arange(n)
+    lies, begin = places, np.repeat(bounds[:-1], np.diff(bounds))
+    ones = np.zeros(n + 1, np.int64)
     for level in range(CODE_BITS):
-        bit = (codes[place] >> (CODE_BITS - level - 1)) & 1
+        bit = (codes >> (CODE_BITS - level - 1)) & 1
         np.cumsum(bit, out=ones[1:])
-        before = ones[begin]
+        before = _at(ones, begin)
         own = ones[:-1] - before
-        zeros = places - begin - own
-        out = np.empty((2, n), np.float32)
-        out[0, place], out[1, place] = zeros, own
-        yield out[0], out[1]
+        begin_0 = begin - before
+        zeros = places - ones[:-1]
+        yield _at((zeros - begin_0).astype(np.float32), lies), _at(own.astype(np.float32), lies)
         if level == CODE_BITS - 1:
             return
-        middle = end - ones[end] + before
-        up = bit == 1
-        to = np.where(up, middle + own, begin + zeros)
-        new = np.empty((3, n), np.int32)
-        new[0, to] = place
-        new[1, to] = np.where(up, middle, begin)
-        new[2, to] = np.where(up, end, middle)
-        place, begin, end = new
+        up = bit.astype(bool)
+        by_0, by_1 = np.flatnonzero(~up), np.flatnonzero(up)
+        half = len(by_0)
+        before += half
+        own = ones[:-1] + half
+        own -= zeros
+        own *= bit
+        own += zeros
+        lies = _at(own, lies)
+        codes = np.concatenate((_at(codes, by_0), _at(codes, by_1)))
+        begin = np.concatenate((_at(begin_0, by_0), _at(before, by_1)))
 
 
 @dataclass
@@ -178,6 +197,21 @@ class Counts:
     def bits(self) -> int:
         return int(self.tables.shape[1]).bit_length() - 1
 
+    def priors(self, without_itself: bool) -> tuple[np.ndarray, np.ndarray]:
+        """By node the context-free probabilities, laid out like the tables, and their
+        logit, or by node and bit the same with one token that goes there taken out."""
+        n = self.nodes
+        if without_itself:
+            n = np.repeat(n, 2, axis=1)
+            n[0, ::2] -= 1
+            n[1, 1::2] -= 1
+            n = np.maximum(n, 0)  # where no token goes
+        n = n + np.float32(0.5)
+        part = np.float32(TRUST) / (n[0] + n[1])
+        both = np.empty(len(part), np.complex64)
+        both.real, both.imag = n * part
+        return both, np.log(n[1] / n[0])
+
 
 @dataclass
 class Mixer:
@@ -193,65 +227,85 @@ def fresh_mixer() -> Mixer:
 
 
 def _level_of(seen: np.ndarray) -> np.ndarray:
-    return _LEVEL_OF[np.minimum(seen, 10).astype(np.int32)]
+    level = (seen >= _FROM[0]).view(np.uint8)
+    for least in _FROM[1:]:
+        level += seen >= least
+    return level
 
 
-def decisions(block: Block, counts: Counts, online: bool):
-    """For each level the logits of the predictors (input, token), the gate, the map
-    and the bit of each token. ``online`` adds the block to the tables behind it and
-    takes each token itself out of the counts by node, which are of all texts."""
+def decisions(block: Block, counts: Counts, priors: tuple[np.ndarray, np.ndarray], online: bool):
+    """For each level the logits of the predictors (input, token), and of each token the
+    gate and the map, both counted within the level, and the bit. ``online`` adds the
+    block to the tables behind it; ``priors`` are then those without the token itself,
+    since the counts by node are of all texts."""
     contexts, bits = block.contexts(), counts.bits
-    for level, (zeros, ones) in enumerate(counts_so_far(block.codes, block.bounds)):
-        node, bit = _nodes(block.codes, level)
-        n0, n1 = counts.nodes[0].take(node), counts.nodes[1].take(node)
-        if online:
-            up = bit.astype(np.float32)
-            n1 -= up
-            n0 -= 1 - up
-        n0 += np.float32(0.5)
-        n1 += np.float32(0.5)
+    codes = block.codes.astype(np.int64)
+    for level, (zeros, ones) in enumerate(counts_so_far(codes, block.bounds)):
+        left = CODE_BITS - level
+        node = (codes >> left) + (1 << level)
+        by_bit = (codes >> (left - 1)) + (2 << level)
+        bit = by_bit & 1
         x = np.empty((_INPUTS, len(bit)), np.float32)
-        np.log(n1 / n0, out=x[0])
+        place = by_bit if online else node
+        prior = _at(priors[0], place)
+        priors[1].take(place, mode="clip", out=x[0])
+        below = level % NEAR
+        if not below:
+            roots = [_slots(context, node, bits) for context in contexts]
+        within = node & ((1 << below) - 1)
+        within += 1 << below
+        seen = []
         # A context's counts with the context-free probabilities added.
-        part = np.float32(TRUST) / (n0 + n1)
-        n0 *= part
-        n1 *= part
-        near = np.int32(level)
-        gate = None
-        for order, context in enumerate(contexts):
-            slot = _slots(context, node, bits)
-            counted = counts.tables[order].take(slot)
-            c0, c1 = counted.real, counted.imag
-            seen = _level_of(c0 + c1)
-            if order == 0:
-                gate = seen
-            else:
-                near = near * _LEVELS + seen
-            np.log((c1 + n1) / (c0 + n0), out=x[1 + order])
+        for order, root in enumerate(roots):
+            slot = root ^ within
+            counted = _at(counts.tables[order], slot)
+            seen.append(_level_of(counted.real + counted.imag))
+            counted += prior
+            np.log(counted.imag / counted.real, out=x[1 + order])
             if online:
-                at = (slot.astype(np.int64) << 1) + bit
-                np.add.at(counts.tables[order].view(np.float32), at, np.float32(1))
-        np.log((ones + n1) / (zeros + n0), out=x[1 + ORDERS])
-        near = near * _LEVELS + _level_of(zeros + ones)
-        yield x, near * _LEVELS + gate, near, bit
+                slot += slot
+                slot += bit
+                np.add.at(counts.tables[order].view(np.float32), slot, np.float32(1))
+        seen.append(_level_of(zeros + ones))
+        ones += prior.imag
+        zeros += prior.real
+        np.log(ones / zeros, out=x[1 + ORDERS])
+        near = seen[1]
+        for other in seen[2:]:
+            near = near * np.uint8(_LEVELS) + other
+        gate = near * np.uint8(_LEVELS) + seen[0]
+        yield x, gate.astype(np.int64), near.astype(np.int64), bit
 
 
 def _logit(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
     """``weights`` by input, then gate."""
-    total = weights[0].take(gate) * x[0]
+    total = _at(weights[0], gate)
+    total *= x[0]
     for k in range(1, len(x)):
-        total += weights[k].take(gate) * x[k]
+        more = _at(weights[k], gate)
+        more *= x[k]
+        total += more
     return total
 
 
 def _notches(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = (np.clip(logit, -LIMIT, LIMIT) + np.float32(LIMIT)) * np.float32((NOTCHES - 1) / (2 * LIMIT))
-    low = np.minimum(at.astype(np.int32), NOTCHES - 2)
+    at = np.clip(logit, np.float32(-LIMIT), np.float32(LIMIT))
+    at += np.float32(LIMIT)
+    at *= np.float32((NOTCHES - 1) / (2 * LIMIT))
+    low = np.minimum(at.astype(np.int32), np.int32(NOTCHES - 2))
     return low, at - low
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
+    p = np.float32(0.5) * x
+    np.tanh(p, out=p)
+    p *= np.float32(0.5)
+    p += np.float32(0.5)
+    return p
+
+
+def _of_level(level: int, many: int) -> slice:
+    return slice(level * many, (level + 1) * many)
 
 
 class Learner:
@@ -261,20 +315,18 @@ class Learner:
 
     def __init__(self, counts: Counts) -> None:
         self.counts, self.mixer = counts, fresh_mixer()
+        self.priors = counts.priors(without_itself=True)
         self.past = np.full((_INPUTS, _GATES), 1e-6)
         self.seen = np.zeros(_GATES)
         self.refined = np.zeros((2, _MAPS * NOTCHES))
 
     def learn(self, block: Block) -> None:
-        weights = self.mixer.weights
-        for x, gate, near, bit in decisions(block, self.counts, online=True):
+        many, maps = _GATES // CODE_BITS, _MAPS // CODE_BITS * NOTCHES
+        steps = decisions(block, self.counts, self.priors, online=True)
+        for level, (x, gate, near, bit) in enumerate(steps):
             logit = np.empty(len(bit), np.float32)
-            # The gates of one level are a range of their own, and so are the maps.
-            many = _LEVELS**3
-            low = int(gate[0]) // many * many
-            gate = gate.astype(np.int64) - low
-            mine = weights[:, low : low + many]
-            past = self.past[:, low : low + many]
+            mine = self.mixer.weights[:, _of_level(level, many)]
+            past = self.past[:, _of_level(level, many)]
             for at in range(0, len(bit), TOGETHER):
                 part = slice(at, at + TOGETHER)
                 g, own = gate[part], x[:, part]
@@ -283,14 +335,17 @@ class Learner:
                 pull = np.stack([np.bincount(g, miss * row, minlength=many) for row in own])
                 past += pull * pull
                 mine += (STEP * pull / np.sqrt(past)).astype(np.float32)
-            self.seen[low : low + many] += np.bincount(gate, minlength=many)
+            self.seen[_of_level(level, many)] += np.bincount(gate, minlength=many)
             notch, part = _notches(logit)
-            first = low // _LEVELS
-            maps = many // _LEVELS * NOTCHES
-            own = self.refined[:, first * NOTCHES : first * NOTCHES + maps]
-            at = (near.astype(np.int64) - first) * NOTCHES + notch + (part > 0.5)
-            own[0] += np.bincount(at, bit, minlength=maps)
-            own[1] += np.bincount(at, minlength=maps)
+            own = self.refined[:, _of_level(level, maps)]
+            near *= NOTCHES
+            near += notch
+            near += part > 0.5
+            near += near
+            near += bit
+            zeros, ones = np.bincount(near, minlength=2 * maps).reshape(-1, 2).T
+            own[0] += ones
+            own[1] += zeros + ones
 
     def sums(self) -> np.ndarray:
         """Weights times what they have seen, that, and the map's sums."""
@@ -310,20 +365,37 @@ def mixer_of(line: np.ndarray) -> Mixer:
     return mixer
 
 
-def bit_scores(block: Block, counts: Counts, mixer: Mixer) -> np.ndarray:
-    """log10 probability of each token's code."""
-    out = np.zeros(len(block.codes), np.float32)
+def bit_scores(
+    block: Block,
+    counts: Counts,
+    mixer: Mixer,
+    priors: tuple[np.ndarray, np.ndarray] | None = None,
+) -> np.ndarray:
+    """log10 probability of each token's code. ``priors`` are those of ``counts``, for
+    callers with many blocks."""
+    priors = counts.priors(without_itself=False) if priors is None else priors
+    many, maps = _GATES // CODE_BITS, _MAPS // CODE_BITS * NOTCHES
+    whole = np.ones(len(block.codes))  # no less than LEAST_P ** CODE_BITS
     curve = (mixer.refined[0] / mixer.refined[1]).astype(np.float32)
-    for x, gate, near, bit in decisions(block, counts, online=False):
-        logit = _logit(x, mixer.weights, gate)
+    steps = decisions(block, counts, priors, online=False)
+    for level, (x, gate, near, bit) in enumerate(steps):
+        logit = _logit(x, mixer.weights[:, _of_level(level, many)], gate)
+        mine = curve[_of_level(level, maps)]
         notch, part = _notches(logit)
-        at = near * np.int32(NOTCHES) + notch
-        low = curve.take(at)
-        p = _sigmoid(logit) + low + part * (curve.take(at + np.int32(1)) - low)
-        p *= np.float32(0.5)
-        p = np.where(bit == 1, p, 1 - p)
-        out += np.log10(np.clip(p, np.float32(LEAST_P), np.float32(1 - LEAST_P)))
-    return out
+        near *= NOTCHES
+        near += notch
+        low = _at(mine, near)
+        near += 1
+        more = _at(mine, near)
+        more -= low
+        p = part * more
+        low += _sigmoid(logit)
+        p += low
+        p *= 0.5
+        p -= 1 - bit  # the probability of the bit itself, or that less than zero
+        np.abs(p, out=p)
+        whole *= np.clip(p, LEAST_P, 1 - LEAST_P, out=p)
+    return np.log10(whole)
 
 
 def _over_tokens(docs: DataFrame, text_col: str, make, types: str) -> DataFrame:
@@ -446,6 +518,28 @@ def learn_mixing(docs: DataFrame, text_col: str = "text") -> Model:
     )
 
 
+def in_head(spans: Iterable[tuple], head: pa.Array) -> Iterator[tuple]:
+    """Spans, whose last field is their :class:`Tokens`, and behind it the place of each
+    distinct one in ``head``, or -1."""
+    spans = iter(spans)
+    while True:
+        some, held = [], 0
+        for span in spans:
+            some.append(span)
+            held += len(span[-1].token)
+            if held >= _LOOKED_UP:
+                break
+        if not some:
+            return
+        place = pc.index_in(pa.concat_arrays([s[-1].distinct for s in some]), value_set=head)
+        place = place.fill_null(-1).to_numpy()
+        while some:
+            span = some.pop(0)
+            many = len(span[-1].distinct)
+            yield *span, place[:many]
+            place = place[many:]
+
+
 def score_texts(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -465,44 +559,47 @@ def score_texts(
 
     def of_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, mixer, head, weight, within = shared.value
+        priors = counts.priors(without_itself=False)
         key = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for lo, hi, raw, offsets in text_spans(batch.column(1), _SPAN):
-                tokens = Tokens(raw, offsets)
-                place = pc.index_in(tokens.distinct, value_set=head).fill_null(-1).to_numpy()
-                known = place[tokens.token] >= 0
-                value = np.concatenate([bit_scores(b, counts, mixer) for b in tokens.blocks()])
-                value = value - within[tokens.codes]
-                mass = np.zeros(len(known))
-                mass[known] = weight[place[tokens.token[known]]]
-                texts = hi - lo
-                keys = key + np.arange(texts)
-                key += texts
-                yield pa.record_batch({
-                    "key": pa.array(keys),
-                    "id": batch.column(0).slice(lo, texts),
-                    "token": pa.nulls(texts, pa.string()),
-                    "n": pa.array(np.diff(tokens.bounds)),
-                    "n_known": pa.array(sums_by_row(known.astype(float), tokens.bounds).astype(np.int64)),
-                    "mass": pa.array(sums_by_row(mass, tokens.bounds)),
-                    "value": pa.array(sums_by_row(value, tokens.bounds)),
-                    "n_bytes": pa.array(np.diff(offsets)),
-                })
-                many = len(tokens.distinct)
-                rare = np.sort(tokens.text[~known] * many + tokens.token[~known])
-                first = np.flatnonzero(np.append(True, rare[1:] != rare[:-1])[: len(rare)])
-                n, rare = np.diff(np.append(first, len(rare))), rare[first]
-                none = pa.nulls(len(rare), pa.int64())
-                yield pa.record_batch({
-                    "key": pa.array(keys[rare // many]),
-                    "id": none.cast(batch.column(0).type),
-                    "token": tokens.distinct.take(pa.array(rare % many)),
-                    "n": pa.array(n),
-                    "n_known": none,
-                    "mass": none.cast(pa.float64()),
-                    "value": none.cast(pa.float64()),
-                    "n_bytes": none,
-                })
+        spans = (
+            (batch.column(0).slice(lo, hi - lo), offsets, Tokens(raw, offsets))
+            for batch in batches
+            for lo, hi, raw, offsets in text_spans(batch.column(1), _SPAN)
+        )
+        for ids, offsets, tokens, place in in_head(spans, head):
+            known = place[tokens.token] >= 0
+            value = np.concatenate([bit_scores(b, counts, mixer, priors) for b in tokens.blocks()])
+            value = value - within[tokens.codes]
+            mass = np.zeros(len(known))
+            mass[known] = weight[place[tokens.token[known]]]
+            texts = len(ids)
+            keys = key + np.arange(texts)
+            key += texts
+            yield pa.record_batch({
+                "key": pa.array(keys),
+                "id": ids,
+                "token": pa.nulls(texts, pa.string()),
+                "n": pa.array(np.diff(tokens.bounds)),
+                "n_known": pa.array(sums_by_row(known.astype(float), tokens.bounds).astype(np.int64)),
+                "mass": pa.array(sums_by_row(mass, tokens.bounds)),
+                "value": pa.array(sums_by_row(value, tokens.bounds)),
+                "n_bytes": pa.array(np.diff(offsets)),
+            })
+            many = len(tokens.distinct)
+            rare = np.sort(tokens.text[~known] * many + tokens.token[~known])
+            first = np.flatnonzero(np.append(True, rare[1:] != rare[:-1])[: len(rare)])
+            n, rare = np.diff(np.append(first, len(rare))), rare[first]
+            none = pa.nulls(len(rare), pa.int64())
+            yield pa.record_batch({
+                "key": pa.array(keys[rare // many]),
+                "id": none.cast(ids.type),
+                "token": tokens.distinct.take(pa.array(rare % many)),
+                "n": pa.array(n),
+                "n_known": none,
+                "mass": none.cast(pa.float64()),
+                "value": none.cast(pa.float64()),
+                "n_bytes": none,
+            })
 
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     kind = texts.schema[0].dataType.simpleString()

@@ -55,7 +55,7 @@ def strings_of(raw: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 def hashes_of(values: pa.Array) -> np.ndarray:
     """XXH64 of each string."""
-    raw = values.cast(pa.binary()).to_pylist()
+    raw = values.cast(pa.binary()).to_numpy(zero_copy_only=False)
     return np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
 
 
@@ -76,7 +76,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
     """Words are the runs of ``inside``, A to Z in lower case."""
     low = lower_ascii(raw)
     starts, ends = runs(inside, offsets)
-    encoded = strings_of(low[inside], ends - starts).dictionary_encode()
+    encoded = strings_of(low.compress(inside), ends - starts).dictionary_encode()
     text = np.searchsorted(offsets, starts, "right") - 1
     return Words(
         text, encoded.indices.to_numpy(), starts, encoded.dictionary, low, offsets

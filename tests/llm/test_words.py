@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +278,80 @@ def test_contexts_keep_counts_of_their_own(spark, make_docs):
     won = found.select((F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).alias("won"))
     assert won.first().won > 1.0
     assert [M.slot_bits(n) for n in (0, 1 << 14, 10**6, 10**10)] == [14, 15, 20, 22]
+
+
+def test_a_context_finds_three_levels_side_by_side():
+    """Two texts of one token each: 14 nodes in either order's table, in 5 runs of 8 slots."""
+    nodes = np.ones((2, 1 << M.CODE_BITS), np.float32)
+    codes = np.array([5, 1 << (M.CODE_BITS - 1)], np.int32)
+    for which in ([0], [0, 1]):
+        counts = M.Counts(nodes, np.zeros((M.ORDERS, 1 << 20), np.complex64), np.zeros(1), np.zeros(1))
+        own = codes[which]
+        block = M.Block(own, np.zeros(len(own), np.uint64), np.arange(len(own) + 1))
+        M.Learner(counts).learn(block)
+        for table in counts.tables:
+            assert table.real.sum() + table.imag.sum() == M.CODE_BITS * len(own)
+            runs = np.unique(np.flatnonzero(table) // 8)
+            # The second token parts from the first after the root.
+            assert len(runs) == (5 if len(own) == 1 else 9)
+
+
+def test_slots_are_all_used_alike():
+    """Laying levels side by side leaves none of the slots empty, so contexts share no more."""
+    draw = np.random.default_rng(8)
+    n = 1 << 14
+    codes = draw.integers(0, 1 << M.CODE_BITS, n).astype(np.int32)
+    hashes = draw.integers(0, 1 << 63, n).astype(np.uint64)
+    nodes = np.full((2, 1 << M.CODE_BITS), 9, np.float32)
+    counts = M.Counts(nodes, np.zeros((M.ORDERS, 1 << 17), np.complex64), np.zeros(1), np.zeros(1))
+    M.Learner(counts).learn(M.Block(codes, hashes, np.array([0, n])))
+    for table in counts.tables:
+        empty = (table == 0).reshape(-1, 8).mean(axis=0)
+        assert np.ptp(empty) < 0.02
+        # As many as if each of the 14 n counts had fallen anywhere.
+        assert abs(empty.mean() - math.exp(-M.CODE_BITS * n / table.size)) < 0.02
+
+
+def test_counting_tokens_hashes_none(monkeypatch):
+    def refused(values):
+        raise AssertionError("tokens are counted by their bytes")
+
+    monkeypatch.setattr(M, "hashes_of", refused)
+    raw = np.frombuffer(b"a b a", np.uint8)
+    counted = M.Tokens(raw, np.array([0, 3, 5])).counts().to_pylist()
+    assert {r["token"]: r["n"] for r in counted} == {"a": 2, "b": 1, "": 2}
+
+
+def test_log_probabilities_are_those_of_each_decision():
+    """The product of a code's decisions is told apart down to the least of each."""
+    nodes = np.zeros((2, 1 << M.CODE_BITS), np.float32)
+    nodes[0] = 1e9
+    counts = M.Counts(nodes, np.zeros((M.ORDERS, 1 << 14), np.complex64), np.zeros(1), np.zeros(1))
+    mixer = M.fresh_mixer()
+    mixer.refined[0] = 0
+    last = (1 << M.CODE_BITS) - 1
+    block = M.Block(np.array([0, last], np.int32), np.zeros(2, np.uint64), np.arange(3))
+    likely, unlikely = M.bit_scores(block, counts, mixer)
+    assert -1e-3 < likely < 0
+    assert abs(unlikely - M.CODE_BITS * math.log10(M.LEAST_P)) < 1e-3
+
+
+def test_words_of_several_spans_are_looked_up_at_once(monkeypatch):
+    draw = np.random.default_rng(3)
+    head = pa.array(["w1", "", "w4"])
+    asked = []
+    index_in = M.pc.index_in
+    monkeypatch.setattr(M.pc, "index_in", lambda *a, **k: asked.append(1) or index_in(*a, **k))
+    spans = []
+    for i in range(7):
+        raw = " ".join(f"w{k}" for k in draw.integers(0, 6, 30)).encode()
+        spans.append((i, M.Tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))))
+    for most, times in ((1, 7), (62, 4), (10**6, 1)):
+        asked.clear()
+        monkeypatch.setattr(M, "_LOOKED_UP", most)
+        found = list(M.in_head(spans, head))
+        assert [i for i, _, _ in found] == list(range(7)) and len(asked) == times
+        for _, tokens, place in found:
+            known = head.to_pylist()
+            assert place.tolist() == [known.index(t) if t in known else -1 for t in tokens.distinct.to_pylist()]
+    assert list(M.in_head([], head)) == []
